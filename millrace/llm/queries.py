@@ -23,6 +23,18 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mixed_documents
+
+    return mixed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.chat import chat_digest
 
@@ -32,6 +44,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
     "op4_media_columns": op4_media_columns,
+    "op7_golden_mix": op7_golden_mix,
+    "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
 }
 
