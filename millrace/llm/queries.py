@@ -23,12 +23,30 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.topk import top_embeddings
+
+    return top_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import scored_documents
+
+    return scored_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mixed_documents
 
     return mixed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secret_scan import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.html_text import extract
 
@@ -44,12 +62,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
     "op4_media_columns": op4_media_columns,
+    "op5_maxscore_topk": op5_maxscore_topk,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_golden_mix": op7_golden_mix,
+    "op8_secret_scan": op8_secret_scan,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_maxscore_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op10_chat_format": r"""
 WITH rows_ AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
