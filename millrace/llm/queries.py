@@ -11,12 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import grouped_documents
+
+    return grouped_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import packed_documents
 
     return packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.line_dedup import deduped_documents
+
+    return deduped_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.media import media_digest
 
@@ -59,8 +71,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(_table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_vector_packing": op2_vector_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_media_columns": op4_media_columns,
     "op5_maxscore_topk": op5_maxscore_topk,
     "op6_quality_classifier": op6_quality_classifier,
@@ -68,9 +88,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+w AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words FROM l),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s,
+    lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w WHERE words > 0),
+f AS (SELECT *,
+    row_number() OVER (PARTITION BY line ORDER BY doc_id, s) > 1 AS again,
+    next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, s) > 1 AS pair FROM s),
+g AS (SELECT doc_id, i, (again AND words >= 4) OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM f)
+SELECT w.doc_id, coalesce(string_agg(line, chr(10) ORDER BY w.i) FILTER (NOT coalesce(gone, false)), '') AS text,
+  CAST(count(*) FILTER (coalesce(gone, false)) AS BIGINT) AS n_deleted
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id""",
     "op5_maxscore_topk": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
