@@ -1,0 +1 @@
+"""plans of the select-project-join engine."""

@@ -1,0 +1 @@
+"""sources of the select-project-join engine."""
