@@ -7,11 +7,13 @@ the same order. Candidates share a value. They are linked if the edit similarity
 1 - distance / longer length, is SIMILARITY or more, found by bit-parallel alignment in a band that is doubled until
 the distance fits or exceeds what the similarity admits. Groups are the connected components of links.
 
+Reach: texts whose k-mers overlap by 0.8 (Jaccard) share one of the 20 values with a probability over 0.9999, at 0.6 over 0.99; texts
+that edits have left without common k-mers are not found, even where their edit similarity is high (short texts).
+
 Skew: equal texts are one representative from the start (a partial aggregate). A bucket (a sketch value) is not paired
-out: first each text meets the least text of its smallest bucket leader, then all remaining leaders, then, where a
-bucket still holds several groups, its texts meet their NEXT neighbours by length (all pairs, in buckets that are not
-larger), and in larger ones the buckets' leaders change until no bucket has pairs left that are
-new; each round needs only texts whose groups still differ. Links between texts of one group are not searched for.
+out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders; then,
+where a bucket still holds several groups, its texts meet their NEXT neighbours by length (all pairs, in buckets
+that are not larger) and in larger ones a second leader. Links between texts of one group are not searched for.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
 of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
@@ -34,7 +36,6 @@ from millrace.llm.common import WordHashes, cut
 K, SKETCHES, WIDTH, SIMILARITY = 5, 20, 3, 0.8
 #: Neighbours by length that a text meets in a bucket which still holds several groups.
 NEXT = 16
-ROUNDS = 4
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -203,18 +204,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component), for the nodes of edges (u, v). Labels spread along edges and jump along labels."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("best"))
-        new = labels.join(near, labels["node"] == near["u"], "left").select("node", "label", F.least("label", "best").alias("next"))
-        up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_up"))
-        new = cut(new.join(up, F.col("next") == F.col("_n"), "left").select("node", "label", F.least("next", "_up").alias("next")))
-        if new.filter("next <> label").isEmpty():
-            return labels
-        labels = new.select("node", F.col("next").alias("label"))
+    """node, label (the least node of its component), for the nodes of edges (u, v).
+
+    Every node is drawn into its least neighbour and the edges between what remains go on, so that stars are gone after one
+    step and chains halve; the steps' maps are then composed.
+    """
+    edges = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    maps = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        into = cut(both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("node"), F.least("u", "_m").alias("label")))
+        maps.append(into)
+        a, b = into.select(F.col("node").alias("u"), F.col("label").alias("lu")), into.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+        moved = edges.join(a, "u").join(b, "v").filter("lu <> lv")
+        edges = cut(moved.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
+    if not maps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    labels = maps[0]
+    for m in maps[1:]:
+        labels = relabelled(labels, m)
+    return labels
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels, of which those that are nodes of `more` take its label."""
+    m = more.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return labels.join(m, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
@@ -241,45 +256,41 @@ def near_groups(documents: DataFrame) -> DataFrame:
     star = members.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     tried = cut(star.groupBy("u").agg(F.min("v").alias("v")))
     links = cut(verified(tried, texts))
-
-    def grouped(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs of texts whose groups differ."""
+    nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    labels = cut(relabelled(nodes, components(links)))
+
+    def held() -> DataFrame:
+        """The members of buckets that still hold several groups, with their groups."""
+        l = labels.withColumnRenamed("node", "rep")
+        now = members.join(l, "rep")
+        mixed = now.groupBy("order", "value").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), F.min_by(F.struct("rep", "label"), F.xxhash64("rep")).alias("chief")).filter("_a <> _b").drop("_a", "_b")
+        return now.join(mixed, ["order", "value"])
+
+    def meet(pairs: DataFrame) -> bool:
+        """Verifies pairs that are new and joins groups; False if there was none."""
+        nonlocal tried, links, labels
+        fresh = cut(pairs.join(tried, ["u", "v"], "left_anti").distinct())
+        if fresh.isEmpty():
+            return False
+        found = cut(verified(fresh, texts))
+        links, tried = links.unionByName(found), tried.unionByName(fresh)
         a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        got = pairs.join(a, "u", "left").join(b, "v", "left")
-        return got.filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
-
-    pairs = star.distinct()
-    for round_ in range(ROUNDS):
-        labels = components(links)
-        fresh = grouped(pairs, labels).join(tried, ["u", "v"], "left_anti")
-        fresh = cut(fresh)
-        if not fresh.isEmpty():
-            found = verified(fresh, texts)
-            links = cut(links.unionByName(found))
-            tried = cut(tried.unionByName(fresh))
-            labels = components(links)
-        if round_ == ROUNDS - 1:
-            break
-        # buckets that still hold several groups
-        l = labels.select(F.col("node").alias("rep"), "label")
-        held = members.join(l, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = held.groupBy("order", "value").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("order", "value")
-        held = held.join(mixed, ["order", "value"])
-        if round_ == 0:
-            # by length, in overlapping cells: similar texts differ by a fifth at most
-            level = F.floor(F.log(F.col("words").cast("double")) / float(np.log(1 / SIMILARITY)))
-            cells = held.withColumn("cell", F.explode(F.array(level, level + 1)))
-            w = Window.partitionBy("order", "value", "cell").orderBy("words", "rep")
-            near = F.collect_list(F.struct("rep", "label")).over(w.rowsBetween(1, NEXT))
-            pairs = cells.withColumn("near", near).select("rep", "label", F.explode("near").alias("x")).filter("label <> x.label")
-            pairs = pairs.select(F.greatest("rep", "x.rep").alias("u"), F.least("rep", "x.rep").alias("v")).distinct()
-        else:
-            # another leader for each bucket
-            turn = F.xxhash64("rep", F.lit(round_))
-            chief = held.groupBy("order", "value").agg(F.min_by("rep", turn).alias("leader2"), F.min_by("label", turn).alias("label2"))
-            pairs = held.join(chief, ["order", "value"]).filter("label <> label2").select(F.greatest("rep", "leader2").alias("u"), F.least("rep", "leader2").alias("v")).distinct()
+        labels = cut(relabelled(labels, components(found.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
+        return True
+
+    # the other leaders first: they join most groups
+    a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    meet(star.distinct().join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v"))
+    # neighbours by length, in overlapping cells (similar texts differ by a fifth at most), and one more leader for large buckets
+    now = cut(held())
+    level = F.floor(F.log(F.col("words").cast("double")) / float(np.log(1 / SIMILARITY)))
+    cells = now.select("order", "value", "rep", "label", "words", F.explode(F.array(level, level + 1)).alias("cell"))
+    by_length = Window.partitionBy("order", "value", "cell").orderBy("words", "rep")
+    near = cells.withColumn("next", F.collect_list(F.struct("rep", "label")).over(by_length.rowsBetween(1, NEXT))).withColumn("x", F.explode("next")).filter("label <> x.label").select("rep", F.col("x.rep").alias("other"))
+    chief = now.filter(f"n > {NEXT} AND label <> chief.label").select("rep", F.col("chief.rep").alias("other"))
+    meet(near.unionByName(chief).select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")))
     names = labels.select(F.col("node").alias("digest"), "label")
-    degree = links.select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
+    degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     ids = named.groupBy("label").agg(F.min("_least").alias("group_id"))
     named = cut(named.join(ids, "label").join(degree, "digest", "left").select("digest", "group_id", "_least", F.coalesce("n_links", F.lit(0)).alias("n_links")))
