@@ -21,6 +21,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import cut
 from millrace.llm.mixing import words_in
@@ -84,7 +85,7 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS, longest: int
     return by_place.join(places, same).groupBy("_d", "_h").agg(F.collect_list("idx").alias("gone"), F.max("level").alias("level"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for t, g in zip(text, gone, strict=True):
