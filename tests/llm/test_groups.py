@@ -1,0 +1,208 @@
+"""Near copies, line runs, search, classifier, mix, secrets, pages and the pipeline, with odd cases, against brute force."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import html_text, line_dedup, mixing, near_dedup, quality, secret_scan, topk
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size int"
+
+
+def frame(spark, texts, source=lambda i: f"s{i % 4}"):
+    return spark.createDataFrame([(i, t, "en", source(i), len(t or ""), "clash", 3) for i, t in enumerate(texts)], DOCS).repartition(3, "doc_id")
+
+
+def prose(rng, n):
+    return [rng.choice("abcdefghij") * 2 + rng.choice(["ka", "lo", "mi", "ru", "te"]) + str(rng.randrange(900)) for _ in range(n)]
+
+
+def slow_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        c = [i]
+        for j, y in enumerate(b, 1):
+            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
+        p = c
+    return p[-1]
+
+
+def test_banded_distance_equals_the_full_table():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randrange(40))]
+        b = list(a)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.randrange(30)] * rng.randrange(2)
+        for most in (0, 1, 3, 8, 50):
+            assert min(near_dedup.banded_distance(a, b, most), most + 1) == min(slow_distance(a, b), most + 1)
+
+
+def test_near_groups_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = [None, "", "...", "one two", "One, two.", "one two", "z" * 50 + " " + "w " * 30000]
+    for _ in range(6):
+        base = prose(rng, rng.randrange(20, 200))
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = "edit" + str(rng.randrange(99))
+            texts.append(" ".join(copy).capitalize())
+        texts.append(texts[-1])
+    texts += [" ".join(prose(rng, 60)) for _ in range(10)]
+    got = {r.doc_id: r.group_id for r in near_dedup.grouped_documents(frame(spark, texts)).collect()}
+    words = [near_dedup.WordHashes().of(t) for t in texts]
+    grams = [set(near_dedup.kmers(w).tolist()) for w in words]
+    edit, close = list(range(len(texts))), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = bool(texts[i]) and texts[i] == texts[j]
+            alike = len(words[i]) > 0 and near_dedup.similar(words[i], words[j])
+            for up, ok in ((edit, same or alike), (close, same or alike and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]))):
+                if ok:
+                    a, b = sorted((up[i], up[j]))
+                    up[:] = [a if x == b else x for x in up]
+    # nothing is joined that edit similarity does not join, and all that k-mer overlap of 0.8 joins is joined
+    assert all(edit[i] == edit[got[i]] and got[i] <= i for i in got)
+    assert all(got[i] == got[close[i]] for i in got) and len(set(got.values())) < len(texts) - 20
+
+
+def test_near_groups_of_nothing(spark):
+    assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
+
+
+def slow_lines(texts):
+    seen1, seen2, out = set(), set(), {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        at = [k for k, x in enumerate(lines) if x.split()]
+        gone = set()
+        for n, k in enumerate(at):
+            if lines[k] in seen1 and len(lines[k].split()) >= line_dedup.MIN_WORDS:
+                gone.add(k)
+            seen1.add(lines[k])
+            if n + 1 < len(at):
+                pair = (lines[k], lines[at[n + 1]])
+                if pair in seen2:
+                    gone |= {k, at[n + 1]}
+                seen2.add(pair)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["a b c d e", "x", "y z", "one two three four", "", "  ", "q q q q q q", "end"] + [f"line {k} of the pool" for k in range(30)]
+    texts = [None, "", "\n\n", "x\nx\nx\nx"] + ["\n".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(40)] + ["\n".join(f"long run {k} stays whole" for k in range(300))] * 2
+    got = {r.doc_id: r.text for r in line_dedup.deduped_documents(frame(spark, texts)).collect()}
+    want = slow_lines(texts)
+    assert got == want
+    kept = line_dedup.line_stage(frame(spark, texts))
+    assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if want[i].split() or want[i] == (t or "")}
+
+
+def test_search_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 3, 7)]) for i in range(260)] + [(300 + i, [1.0] * 7) for i in range(60)]
+    rows += [(500, None), (501, [1.0, None]), (502, [float("nan")]), (503, [float("inf")]), (600, [2.0]), (700, [])]
+    got = topk.maxscore_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, shard_rows=50, block_rows=2).collect()
+    v = {i: [int(np.floor(1024 * x)) for x in e] + [0] * (7 - len(e)) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    want = []
+    for q in (i for i in v if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:10]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_classifier_on_held_out_rows(spark):
+    rng = random.Random(5)
+    good = [" ".join(prose(rng, 40)).capitalize() + "." for _ in range(300)]
+    bad = [" ".join(rng.choice("BUY NOW WIN CASH".split()) + "!!" for _ in range(40)) for _ in range(100)]
+    texts = good + bad + [None, ""]
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(400)] + [(7, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.scored_documents(frame(spark, texts), labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    held = [r for r in rows if r.held_out and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id < 300) for r in held]) >= 0.95
+    none = quality.scored_documents(frame(spark, texts[:3]), labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+
+
+@pytest.mark.parametrize("sizes", [[50, 400, 30, 7, 0], [1, 1, 1], [1000]])
+def test_mix_reaches_its_targets(spark, sizes):
+    rows = [(i, " ".join(["w"] * (n // 4)), s) for i, (n, s) in enumerate((n, s) for s, n in enumerate(sizes) for _ in range(4))]
+    df = spark.createDataFrame([(i, t, None if s == 2 else f"s{s}") for i, t, s in rows] + [(99, None, "s0"), (98, "a\tb  c", "s1"), (98, "a\tb  c", "s1")], "doc_id long, text string, source string")
+    got = mixing.mixed_documents(df).collect()
+    again = mixing.mixed_documents(df.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and len(got) == df.count()
+    total, taken, target, own = 0, Counter(), {}, {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        total += r["size"]
+    by_id = {r.doc_id: r.source for r in df.collect()}
+    for r in got:
+        s = by_id[r.doc_id]
+        taken[s] += r.taken
+        target[s], own[s] = r.target, r.source_size
+    # brute force: fill by weight, stop at the cap, deal out the rest again
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    want, left, free = {}, 1.5 * total, list(names)
+    while free:
+        full = [s for s in free if left * weight[s] / sum(weight[x] for x in free) >= 2 * own[s]]
+        if not full:
+            want |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        for s in full:
+            want[s] = 2.0 * own[s]
+        left, free = left - sum(want[s] for s in full), [s for s in free if s not in full]
+    for s in names:
+        assert target[s] == pytest.approx(want[s]) and taken[s] == int(target[s] + 1e-9)
+
+
+def test_secrets(spark):
+    texts = [None, "", 'x PassWord = "abcDEF123456" token: short', "AKIA" + "A1" * 8 + " deadbeefdeadbeef", "é key ghp_" + "aB3dE5" * 6, "mail bob.smith.1984x@example.com and 2024-01-02T10:20:30", "token=token=abcdefghijkl"]
+    got = {r.doc_id: r for r in secret_scan.secret_spans(frame(spark, texts)).collect()}
+    assert got[2].spans == "assign:2:26" and got[3].spans == "access:0:20,hex:21:37" and got[6].n_assign == 1
+    assert got[0].base_sha256 == got[1].base_sha256 == secret_scan.digest([]) and got[3].base_sha256 == secret_scan.digest([("access", 0, 20), ("hex", 21, 37)])
+    assert got[4].spans.startswith("cnn:6:") and got[4].n_hex == 0 and got[5].spans == ""
+    windows, y = secret_scan.labelled_findings(600, 77)
+    p = secret_scan.probability(windows, secret_scan.trained()) >= secret_scan.trained()["threshold"][0]
+    assert p[y == 1].mean() >= 0.93 and p[y == 0].mean() <= 0.03
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</article>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a><li><a href='/b>'>News</a></ul></nav><!-- <p>old</p> -->
+<div id=cookie-notice>We use cookies to make this site better for you and all others, please agree.</div>
+<main><article><h1>A title</h1><p>First &eacute; paragraph  of
+ text<br>goes on, with <a href=x>a link</a> in it.<p>Second paragraph &lt;b&gt; is <b>long enough to be read by someone.
+<div class="sidebar">Related things that nobody asked for but that are here.</div><p>Third.</p></article>
+<section class="comments"><p>I liked this article very much, thank you for writing all of it down.</p></section></main>
+<form><label>Mail</label><input name=q></form><footer>&copy; 2020 Site, all rights reserved by its makers.</footer></body></html>"""
+
+
+def test_main_text(spark):
+    want = "A title\n\nFirst é paragraph of text goes on, with a link in it.\n\nSecond paragraph <b> is long enough to be read by someone.\n\nThird."
+    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "e", ""), (None, "b", "<p"), (5, "n", "plain words " * 3000)], "page_id long, url string, html string")
+    got = {r.url: r for r in html_text.extract(df).collect()}
+    assert got["u"].text == want and got["u"].n_chars == len(want)
+    assert got[None].text == got["e"].text == got["b"].text == "" and got["n"].n_chars == len(("plain words " * 3000).strip())
+
+
+def test_pipeline_keeps_columns_and_all_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "mix_sources", "pack"]
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert ids <= {r.doc_id for r in docs.select("doc_id").collect()} and len(ids) > 100
+    assert corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001").columns == docs.columns

@@ -124,3 +124,11 @@ def test_chat_of_nothing(spark):
 def test_chat_runs_no_python(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert "Python" not in chat.chat_digest(df)._jdf.queryExecution().toString()
+
+
+def test_word_tokenizer_equals_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = "Éé ÀÖ straße ǅ İstanbul ªº œuf Œ ŉ ſ ﬁ K ÿ Ÿ a. a.. .. | 'S it's x1y Zß, ñandú: µ ð Þ ĲĳĿ é ́a ab cd x y ​ À. 漢字 ١٢".split(" ")
+    t = packing.WordTokenizer(path, most=9)
+    for text in (*TEXTS, " ".join(words), *words):
+        assert np.frombuffer(t.encode([(text or "").encode()])[0], "<u4").tolist() + [2] == brute_ids(text), repr(text)[:60]
