@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,28 +26,36 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "id long, start long, length long, doc_tokens long, loss long, sequence_id long, offset long, ids binary"
-COLUMNS = ["id", "start", "length", "doc_tokens", "loss", "sequence_id", "offset", "ids"]
+SCHEMA = "id long, start long, length long, doc_tokens long, loss long, sequence_id long, offset long, ids_crc32 long, ids binary"
+COLUMNS = ["id", "start", "length", "doc_tokens", "loss", "sequence_id", "offset", "ids_crc32", "ids"]
 
 
 class WordTokenizer:
     """The ids of texts, word by word through a cache that lasts as long as the Python worker.
 
-    Exact for tokenizers that part words at white space and drop it: what stands between ASCII white space is
-    tokenized by the library itself, and only the results are kept (at most `most` of them).
+    Exact for the lower-casing BPE with word ends, which parts words at white space and drops it: what stands
+    between ASCII white space is looked up. New words of plain letters, with one mark after them at most, are
+    lower-cased here and go to the BPE model in one call; every other word goes through the library's whole
+    pipeline. At most `most` words, and as many lower-case stems, are kept.
     """
 
     _open: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.kept = most, {}
-        ends = [k.endswith("</w>") for k, _ in sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
-        self.ends = np.array(ends)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.most, self.kept, self.stems = most, {}, {}
+        vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.ends = np.array([k.endswith("</w>") for k, _ in vocab])
+        self.marks = {m: self._whole(m) for m in ("", *".,;:|!?")}
+        # BPE works on bytes that stand as printable characters
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.shown = {b: (b if b in shown else 256 + n) for n, b in ((sum(x not in shown for x in range(b)), b) for b in range(256))}
 
     @classmethod
     def open(cls, path: str) -> WordTokenizer:
@@ -54,28 +63,40 @@ class WordTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def _whole(self, s: str) -> bytes:
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem_ids(self, stems: list[str]) -> None:
+        """The ids of new stems, parted at their closing ids."""
+        text = " ".join(s if s.isascii() else s.encode().decode("latin-1").translate(self.shown) for s in stems)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(stems):
+            raw, at = ids.tobytes(), 0
+            for s, stop in zip(stems, stops.tolist(), strict=True):
+                self.stems[s] = raw[4 * at : 4 * stop]
+                at = stop
+        else:  # the model knows no id for some character
+            self.stems.update((s, self._whole(s)) for s in stems)
+
     def _learn(self, words: list[bytes]) -> None:
-        """Plain words in one call, parted at their closing ids; all others one by one."""
-        if len(self.kept) + len(words) > self.most:
-            self.kept.clear()
-        plain, rest = [], []
+        plain = []
         for w in words:
             s = w.decode(errors="replace")
-            core = s[:-1] if s[-1:] in ".,;:|" else s
-            (plain if core.isalpha() and s.isprintable() and "̀" > max(core) else rest).append((w, s, 1 + (core is not s)))
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(s for _, s, _ in plain), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids])
-            need = np.cumsum([k for _, _, k in plain]) - 1
-            if len(stops) == need[-1] + 1:
-                raw, at = ids.tobytes(), 0
-                for (w, _, _), stop in zip(plain, (stops[need] + 1).tolist(), strict=True):
-                    self.kept[w] = raw[4 * at : 4 * stop]
-                    at = stop
-            else:  # a word was parted otherwise than thought
-                rest += plain
-        for w, s, _ in rest:
-            self.kept[w] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            mark = s[-1] if s[-1] in ".,;:|!?" else ""
+            stem = s[:-1] if mark else s
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem):
+                plain.append((w, stem.lower(), mark))
+            else:
+                self.kept[w] = self._whole(s)
+        new = {stem for _, stem, _ in plain if stem not in self.stems}
+        if len(self.stems) + len(new) > self.most:
+            self.stems.clear()
+            new = {stem for _, stem, _ in plain}
+        if new:
+            self._stem_ids(sorted(new))
+        for w, stem, mark in plain:
+            self.kept[w] = self.stems[stem] + self.marks[mark]
 
     def encode(self, contents: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -83,14 +104,14 @@ class WordTokenizer:
         for content in contents:
             words = content.split()
             new = {w for w in words if w not in self.kept}
-            if len(new) > self.most // 2:  # more new words than the cache may hold: a text apart
-                out.append(np.array(self.tokenizer.encode(content.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes())
+            if len(self.kept) + len(new) > self.most:
+                self.kept.clear()
+                new = set(words)
+            if len(new) > self.most:  # more different words in one text than may be kept
+                out.append(self._whole(content.decode(errors="replace")))
                 continue
             if new:
-                full = len(self.kept) + len(new) > self.most
                 self._learn(sorted(new))
-                if full:
-                    self._learn(sorted({w for w in words if w not in self.kept}))
             out.append(b"".join(map(self.kept.__getitem__, words)))
         return out
 
@@ -112,7 +133,7 @@ class Piece:
         return max(0, min(tokens, max(0, self.prompt - self.at) + loss))
 
 
-def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int], flush: bool) -> tuple[list[tuple], list[Piece]]:
+def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int], flush: bool, with_ids: bool = True) -> tuple[list[tuple], list[Piece]]:
     """Rows of placed ids, and the pieces that wait for the next window (none if flush)."""
     rows: list[tuple] = []
     size = int(capacity[0])
@@ -123,7 +144,8 @@ def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int]
         for p, k in parts:
             use = min(k, length - offset)
             if use:
-                rows.append((p.id, p.at, use, p.n, p.demand(use)[2], seq, offset, p.ids[4 * p.at : 4 * (p.at + use)]))
+                ids = p.ids[4 * p.at : 4 * (p.at + use)]
+                rows.append((p.id, p.at, use, p.n, p.demand(use)[2], seq, offset, crc32(ids), ids if with_ids else None))
                 p.at += use
                 offset += use
             if use < k:
@@ -171,8 +193,8 @@ def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int]
     return rows, []
 
 
-def pack(docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int, size: int = 4096, max_segments: int = 64, max_loss: int | None = None, prompt_tokens: Column | None = None, window_rows: int = 2048, window_bytes: int = 32 << 20) -> DataFrame:
-    """One row per piece of a document. ids: the piece's ids, little-endian unsigned 32-bit. Ids from prompt_tokens on bear loss. size: a power of two."""
+def pack(docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int, size: int = 4096, max_segments: int = 64, max_loss: int | None = None, prompt_tokens: Column | None = None, window_rows: int = 512, window_bytes: int = 32 << 20, with_ids: bool = True) -> DataFrame:
+    """One row per piece of a document. ids: the piece's ids, little-endian unsigned 32-bit (null unless with_ids), and their ids_crc32. Ids from prompt_tokens on bear loss. size: a power of two."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     capacity = np.array([size, max_segments, max_loss or size])
@@ -190,11 +212,11 @@ def pack(docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int
                     held.append(Piece(i, ids + close, int(prompt)))
                     bytes_ += len(ids)
                 if len(held) >= window_rows or bytes_ >= window_bytes:
-                    rows, held = pack_window(held, capacity, number, False)
+                    rows, held = pack_window(held, capacity, number, False, with_ids)
                     bytes_ = 0
                     yield pd.DataFrame(rows, columns=COLUMNS)
         if held:
-            yield pd.DataFrame(pack_window(held, capacity, number, True)[0], columns=COLUMNS)
+            yield pd.DataFrame(pack_window(held, capacity, number, True, with_ids)[0], columns=COLUMNS)
 
     prompt = F.coalesce(prompt_tokens, F.lit(0)) if prompt_tokens is not None else F.lit(0)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(content.cast("binary"), F.lit(b"")).alias("content"), prompt.cast("long").alias("prompt"))
@@ -209,5 +231,5 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> Data
     """The rows that op2 and the pipeline's last stage return."""
     import public_tokenizers
 
-    out = pack(documents, "doc_id", F.col("text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, 4096, MAX_SEGMENTS, MAX_LOSS)
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", F.col("loss").alias("loss_tokens"))
+    out = pack(documents, "doc_id", F.col("text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, 4096, MAX_SEGMENTS, MAX_LOSS, with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("loss").alias("loss_tokens"))
