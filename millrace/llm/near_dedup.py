@@ -11,9 +11,12 @@ Reach: texts whose k-mers overlap by 0.8 (Jaccard) share one of the 20 values wi
 that edits have left without common k-mers are not found, even where their edit similarity is high (short texts).
 
 Skew: equal texts are one representative from the start (a partial aggregate). A bucket (a sketch value) is not paired
-out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders; then,
-where a bucket still holds several groups, its texts meet their NEXT neighbours by length (all pairs, in buckets
-that are not larger) and in larger ones a second leader. Links between texts of one group are not searched for.
+out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders. Of
+the buckets that still hold several groups, those of SMALL texts or fewer are paired out; a larger one (a passage that many
+texts share) meets a second leader and is split by each further value that its texts share and that is large as well, SPLITS times.
+So a pair that shares a value in a small bucket, or SPLITS + 1 values that no more than SMALL texts share, is always met. A pair
+all of whose shared values are more common than that, even three at a time, meets leaders only and can be missed. Links
+between texts of one group are not searched for.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
 of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
@@ -29,13 +32,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import WordHashes, cut
 
 K, SKETCHES, WIDTH, SIMILARITY = 5, 20, 3, 0.8
-#: Neighbours by length that a text meets in a bucket which still holds several groups.
-NEXT = 16
+#: Buckets of so many texts that hold several groups are paired out; larger ones are split first.
+SMALL = 17
+#: How often a large bucket is split by one more value.
+SPLITS = 2
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -259,12 +263,11 @@ def near_groups(documents: DataFrame) -> DataFrame:
     nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     labels = cut(relabelled(nodes, components(links)))
 
-    def held() -> DataFrame:
-        """The members of buckets that still hold several groups, with their groups."""
-        l = labels.withColumnRenamed("node", "rep")
-        now = members.join(l, "rep")
-        mixed = now.groupBy("order", "value").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), F.min_by(F.struct("rep", "label"), F.xxhash64("rep")).alias("chief")).filter("_a <> _b").drop("_a", "_b")
-        return now.join(mixed, ["order", "value"])
+    def held(at: DataFrame) -> DataFrame:
+        """The members of buckets that hold several groups, with their groups."""
+        now = at.join(labels.withColumnRenamed("node", "rep"), "rep")
+        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("chief"))
+        return now.join(mixed.filter("_a <> _b").drop("_a", "_b"), "key")
 
     def meet(pairs: DataFrame) -> bool:
         """Verifies pairs that are new and joins groups; False if there was none."""
@@ -281,14 +284,22 @@ def near_groups(documents: DataFrame) -> DataFrame:
     # the other leaders first: they join most groups
     a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     meet(star.distinct().join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v"))
-    # neighbours by length, in overlapping cells (similar texts differ by a fifth at most), and one more leader for large buckets
-    now = cut(held())
-    level = F.floor(F.log(F.col("words").cast("double")) / float(np.log(1 / SIMILARITY)))
-    cells = now.select("order", "value", "rep", "label", "words", F.explode(F.array(level, level + 1)).alias("cell"))
-    by_length = Window.partitionBy("order", "value", "cell").orderBy("words", "rep")
-    near = cells.withColumn("next", F.collect_list(F.struct("rep", "label")).over(by_length.rowsBetween(1, NEXT))).withColumn("x", F.explode("next")).filter("label <> x.label").select("rep", F.col("x.rep").alias("other"))
-    chief = now.filter(f"n > {NEXT} AND label <> chief.label").select("rep", F.col("chief.rep").alias("other"))
-    meet(near.unionByName(chief).select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")))
+    # all pairs of small buckets; a large one meets a second leader and is split by the other large buckets of its members
+    at, wide = members.select(F.xxhash64("order", "value").alias("key"), F.col("order").alias("last"), "rep", "words"), None
+    for _ in range(SPLITS + 1):
+        now = cut(held(at))
+        if now.isEmpty():
+            break
+        few = now.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("words", "rep", "label")).alias("all"))
+        x = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+        pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(F.least("x.words", "y.words") >= SIMILARITY * F.greatest("x.words", "y.words") - 1e-6)
+        chief = now.filter(f"n > {SMALL} AND label <> chief.label").select("rep", F.col("chief.rep").alias("other"))
+        chief = chief.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v"))
+        meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).unionByName(chief))
+        large = now.filter(f"n > {SMALL}").select("key", "last", "rep", "words")
+        if wide is None:
+            wide = large.select("rep", F.col("last").alias("order"), F.col("key").alias("value"))
+        at = large.join(wide, "rep").filter("order > last").select(F.xxhash64("key", "value").alias("key"), F.col("order").alias("last"), "rep", "words")
     names = labels.select(F.col("node").alias("digest"), "label")
     degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
