@@ -72,6 +72,19 @@ def test_near_groups_against_brute_force(spark):
     assert all(got[i] == got[close[i]] for i in got) and len(set(got.values())) < len(texts) - 20
 
 
+def test_near_copies_that_share_a_common_passage(spark):
+    rng = random.Random(8)
+    passage, texts = prose(rng, 60), []
+    for _ in range(45):
+        own = prose(rng, 60)
+        for k in range(2):
+            copy = list(own)
+            copy[20 + k] = f"edit{k}"
+            texts.append(" ".join(passage + copy))
+    got = {r.doc_id: r.group_id for r in near_dedup.grouped_documents(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
 
