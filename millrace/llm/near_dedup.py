@@ -13,10 +13,11 @@ that edits have left without common k-mers are not found, even where their edit
 Skew: equal texts are one representative from the start (a partial aggregate). A bucket (a sketch value) is not paired
 out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders. Of
 the buckets that still hold several groups, those of SMALL texts or fewer are paired out; a larger one (a passage that many
-texts share) meets a second leader and is split by each further value that its texts share and that is large as well, SPLITS times.
-So a pair that shares a value in a small bucket, or SPLITS + 1 values that no more than SMALL texts share, is always met. A pair
-all of whose shared values are more common than that, even three at a time, meets leaders only and can be missed. Links
-between texts of one group are not searched for.
+texts share) is dealt to cells by length, two for a text, so that texts whose lengths admit a link share one. Cells of SMALL
+texts or fewer are paired out as well. In each larger one a chief drawn by hash (likelier, if its text lies in many large
+buckets) meets the texts of other groups, in ROUNDS rounds with new chiefs, or until two rounds in a row find no link.
+So a pair that shares a value in a small bucket or cell is always met; one whose shared values all lie in large cells is met only if
+one of it becomes a leader or chief, and can be missed. Links between texts of one group are not searched for.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
 of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
@@ -30,16 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordHashes, cut
 
 K, SKETCHES, WIDTH, SIMILARITY = 5, 20, 3, 0.8
-#: Buckets of so many texts that hold several groups are paired out; larger ones are split first.
-SMALL = 17
-#: How often a large bucket is split by one more value.
-SPLITS = 2
+#: Buckets and cells of so many texts that hold several groups are paired out.
+SMALL = 32
+#: How many chiefs a larger cell's texts meet.
+ROUNDS = 8
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -97,8 +98,8 @@ def sketch(words: np.ndarray, piece: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def banded_distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance of word sequences if it is at most `most`, else most + 1. Bit-parallel, in a band around the diagonal."""
+def banded_distance(a: list[int], b: list[int], most: int, least: int = 0) -> int:
+    """Edit distance of word sequences, known to be `least` or more, if it is at most `most`, else most + 1. Bit-parallel, in a band around the diagonal."""
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
         lo += 1
@@ -115,7 +116,7 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    band = max(8, len(a) - len(b))
+    band = max(8, len(a) - len(b), least)
     while True:
         band = min(band, most)
         got = _in_band(len(a), b, places, band)
@@ -168,9 +169,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if n - int(np.minimum(ca[ia], cb[ib]).sum()) > most:
-        return False
-    return banded_distance(a.tolist(), b.tolist(), most) <= most
+    alone = n - int(np.minimum(ca[ia], cb[ib]).sum())
+    return alone <= most and banded_distance(a.tolist(), b.tolist(), most, alone) <= most
 
 
 def sketched(documents: DataFrame) -> DataFrame:
@@ -236,6 +236,23 @@ def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
     return labels.join(m, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
 
 
+def _lengths_admit(a: str, b: str) -> Column:
+    """Whether texts of so many words can be similar."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+
+
+def length_cells(at: DataFrame) -> DataFrame:
+    """key, rep, words, common (in how many buckets the text lies): each bucket's texts in cells by length.
+
+    A class's longest text has 1 / SIMILARITY times the words of its shortest; a cell holds a class and the one below, so
+    each text lies in two and any two texts whose lengths admit a link meet in one.
+    """
+    own = F.floor(F.log("words") / float(-np.log(SIMILARITY)) + 1e-9)
+    common = at.groupBy("rep").agg(F.count("*").alias("common"))
+    cells = at.drop("common").join(common, "rep").select("key", "rep", "words", "common", F.explode(F.array(own, own + 1)).alias("cell"))
+    return cells.select(F.xxhash64("key", "cell").alias("key"), "rep", "words", "common")
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), n_links of its text."""
     drawn = cut(sketched(documents))
@@ -263,14 +280,16 @@ def near_groups(documents: DataFrame) -> DataFrame:
     nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     labels = cut(relabelled(nodes, components(links)))
 
-    def held(at: DataFrame) -> DataFrame:
-        """The members of buckets that hold several groups, with their groups."""
+    def held(at: DataFrame, turn: int) -> DataFrame:
+        """The members of buckets or cells that hold several groups, with their groups, the number of members and a chief."""
         now = at.join(labels.withColumnRenamed("node", "rep"), "rep")
-        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "key")).alias("chief"))
+        draw = -F.log((F.shiftrightunsigned(F.xxhash64("rep", "key", F.lit(turn)), 11) + 1) / float(1 << 53)) / F.pow("common", F.lit(2))
+        chief = F.min_by(F.struct("rep", "label", "words"), draw).alias("chief")
+        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), chief)
         return now.join(mixed.filter("_a <> _b").drop("_a", "_b"), "key")
 
     def meet(pairs: DataFrame) -> bool:
-        """Verifies pairs that are new and joins groups; False if there was none."""
+        """Verifies pairs that are new and joins groups; False if no link was found."""
         nonlocal tried, links, labels
         fresh = cut(pairs.join(tried, ["u", "v"], "left_anti").distinct())
         if fresh.isEmpty():
@@ -278,28 +297,28 @@ def near_groups(documents: DataFrame) -> DataFrame:
         found = cut(verified(fresh, texts))
         links, tried = links.unionByName(found), tried.unionByName(fresh)
         a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+        if found.isEmpty():
+            return False
         labels = cut(relabelled(labels, components(found.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
         return True
 
     # the other leaders first: they join most groups
     a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     meet(star.distinct().join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v"))
-    # all pairs of small buckets; a large one meets a second leader and is split by the other large buckets of its members
-    at, wide = members.select(F.xxhash64("order", "value").alias("key"), F.col("order").alias("last"), "rep", "words"), None
-    for _ in range(SPLITS + 1):
-        now = cut(held(at))
-        if now.isEmpty():
-            break
+    # all pairs of small buckets and cells; chiefs in large ones
+    at, idle = members.select(F.xxhash64("order", "value").alias("key"), "rep", "words", F.lit(1).alias("common")), 0
+    for turn in range(ROUNDS + 1):
+        now = cut(held(at, turn))
         few = now.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("words", "rep", "label")).alias("all"))
         x = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-        pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(F.least("x.words", "y.words") >= SIMILARITY * F.greatest("x.words", "y.words") - 1e-6)
-        chief = now.filter(f"n > {SMALL} AND label <> chief.label").select("rep", F.col("chief.rep").alias("other"))
+        pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(_lengths_admit("x.words", "y.words"))
+        chief = now.filter(f"n > {SMALL} AND label <> chief.label").filter(_lengths_admit("words", "chief.words")).select("rep", F.col("chief.rep").alias("other"))
         chief = chief.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v"))
-        meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).unionByName(chief))
-        large = now.filter(f"n > {SMALL}").select("key", "last", "rep", "words")
-        if wide is None:
-            wide = large.select("rep", F.col("last").alias("order"), F.col("key").alias("value"))
-        at = large.join(wide, "rep").filter("order > last").select(F.xxhash64("key", "value").alias("key"), F.col("order").alias("last"), "rep", "words")
+        joined = meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).unionByName(chief))
+        large, idle = now.filter(f"n > {SMALL}").select("key", "rep", "words", "common"), 0 if joined else idle + 1
+        if idle == 2 or large.isEmpty():
+            break
+        at = large if turn else length_cells(large)
     names = labels.select(F.col("node").alias("digest"), "label")
     degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
