@@ -49,6 +49,41 @@ LABELLED = (
     (1, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.8, 5, 1.0, 7, 0.9, 0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.9, 10, 0.9, 11, 0.9, 0, 0, 0, 0),
     (5, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0), (20, 0.7, 14, 0.8, 30, 0.6, 0, 0, 0, 0),
+    # outside <article>: last paragraphs, paragraphs before headings, before link blocks and after them
+    (13, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (28, 0.0, 44, 0.0, 0, 0.0, 0, 0, 0, 1), (70, 0.05, 35, 0.0, 0, 0.0, 0, 0, 0, 1), (7, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (18, 0.0, 30, 0.0, 3, 0.0, 0, 0, 0, 1), (35, 0.1, 4, 0.0, 5, 0.0, 0, 0, 0, 1), (66, 0.0, 3, 0.0, 8, 0.0, 0, 0, 0, 1), (9, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0, 1),
+    (22, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (48, 0.15, 20, 0.0, 30, 0.8, 0, 0, 0, 1), (11, 0.0, 25, 0.0, 16, 1.0, 0, 0, 0, 1), (75, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1),
+    (16, 0.25, 6, 1.0, 1, 1.0, 0, 0, 0, 1), (8, 0.1, 12, 0.0, 5, 1.0, 0, 0, 0, 1), (40, 0.3, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (14, 0.0, 0, 0.0, 20, 0.7, 0, 0, 0, 1),
+    # outside <article>: short items of lists, and headings before anything
+    (6, 0.0, 5, 0.0, 7, 0.0, 0, 0, 0, 1), (3, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 1), (4, 0.0, 24, 0.0, 3, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 5, 0.0, 38, 0.0, 0, 0, 0, 1), (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1), (1, 0.0, 2, 0.0, 1, 0.0, 0, 0, 0, 1), (4, 0.2, 6, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 20, 0.0, 6, 0.0, 0, 0, 1, 1), (2, 0.0, 40, 0.0, 3, 0.0, 0, 0, 1, 1), (7, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 1), (4, 0.0, 30, 0.0, 12, 0.3, 0, 0, 1, 1),
+    # within <article>: before and among link blocks
+    (60, 0.0, 40, 0.0, 30, 0.8, 0, 1, 0, 1), (15, 0.0, 22, 0.0, 14, 1.0, 0, 1, 0, 1), (110, 0.0, 50, 0.0, 40, 0.6, 0, 1, 0, 1), (6, 0.0, 14, 1.0, 25, 0.9, 0, 1, 0, 1),
+    (30, 0.1, 16, 0.7, 18, 0.5, 0, 1, 0, 1), (4, 0.0, 33, 0.0, 13, 0.9, 0, 1, 1, 1), (13, 0.6, 40, 0.0, 0, 0.0, 0, 1, 0, 1), (24, 0.4, 30, 0.8, 28, 0.7, 0, 1, 0, 1),
+    # outside <article>: lists of links, also beside prose
+    (2, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 2, 1.0, 35, 0.0, 0, 0, 0, 0), (8, 0.9, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (15, 1.0, 13, 1.0, 18, 0.9, 0, 0, 0, 0),
+    (25, 0.8, 20, 0.0, 0, 0.0, 0, 0, 0, 0), (5, 1.0, 3, 0.0, 6, 1.0, 0, 0, 0, 0), (3, 1.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0), (40, 0.75, 25, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (90, 0.9, 4, 0.0, 0, 0.0, 0, 0, 0, 0), (12, 0.6, 30, 0.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (110, 0.65, 70, 0.0, 60, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (1, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (6, 0.5, 2, 1.0, 30, 0.0, 0, 0, 0, 0), (18, 0.7, 40, 0.0, 90, 0.0, 0, 0, 0, 0), (9, 1.0, 45, 0.0, 80, 0.0, 0, 0, 0, 0), (30, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0),
+    (2, 0.7, 13, 0.0, 14, 1.0, 0, 0, 0, 0), (200, 1.0, 50, 0.0, 12, 0.0, 0, 0, 0, 0), (7, 0.7, 2, 0.0, 66, 0.0, 0, 0, 0, 0), (50, 0.9, 90, 0.0, 1, 1.0, 0, 0, 0, 0),
+    # short first blocks, and headings after link lists
+    (3, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 0.0, 8, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1),
+    (3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1), (2, 0.0, 1, 0.0, 25, 0.0, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 2, 1.0, 12, 0.0, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 5, 0.0, 0, 0, 1, 1), (4, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 1), (5, 0.0, 2, 1.0, 15, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 1), (1, 0.0, 2, 1.0, 20, 0.0, 0, 0, 1, 1), (6, 0.1, 2, 1.0, 35, 0.0, 0, 0, 0, 1), (5, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 1),
+    (12, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 1), (30, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1), (8, 0.0, 3, 0.0, 14, 1.0, 0, 0, 0, 1), (20, 0.1, 1, 1.0, 3, 1.0, 0, 0, 0, 1),
+    (6, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 1), (38, 0.2, 0, 0.0, 1, 1.0, 0, 0, 0, 1), (10, 0.3, 2, 1.0, 1, 1.0, 0, 0, 0, 1), (7, 0.0, 1, 1.0, 5, 1.0, 0, 0, 0, 1),
+    # within <article>: linked blocks, and short ones beside them
+    (8, 1.0, 30, 0.0, 40, 0.0, 0, 1, 0, 1), (3, 1.0, 4, 1.0, 2, 1.0, 0, 1, 0, 1), (12, 0.8, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (25, 0.7, 9, 0.0, 80, 0.0, 0, 1, 0, 1),
+    (1, 1.0, 70, 0.0, 3, 1.0, 0, 1, 0, 1), (40, 0.9, 20, 0.0, 35, 0.0, 0, 1, 0, 1), (18, 0.5, 45, 0.0, 90, 0.0, 0, 1, 0, 1), (6, 1.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (90, 0.6, 5, 1.0, 6, 1.0, 0, 1, 0, 1), (2, 1.0, 15, 0.3, 25, 0.1, 0, 1, 0, 1), (15, 1.0, 14, 1.0, 16, 1.0, 0, 1, 0, 1), (30, 0.55, 1, 0.0, 10, 0.9, 0, 1, 0, 1),
+    (2, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 1), (1, 0.0, 3, 1.0, 4, 0.0, 0, 1, 0, 1), (4, 0.0, 6, 1.0, 2, 1.0, 0, 1, 0, 1), (3, 0.0, 14, 0.95, 0, 0.0, 0, 1, 0, 1),
+    # furniture within <article>: lists of links, and prose
+    (4, 1.0, 3, 1.0, 5, 1.0, 1, 1, 0, 0), (2, 1.0, 50, 0.0, 4, 1.0, 1, 1, 0, 0), (14, 0.9, 12, 0.9, 40, 0.0, 1, 1, 0, 0), (35, 0.6, 20, 0.0, 30, 0.0, 1, 1, 0, 0),
+    (9, 0.5, 30, 0.0, 2, 1.0, 1, 1, 0, 0), (1, 1.0, 25, 0.0, 60, 0.0, 1, 1, 0, 0), (40, 0.0, 60, 0.0, 20, 0.0, 1, 1, 0, 0), (6, 0.0, 3, 1.0, 2, 1.0, 1, 1, 0, 0),
+    (5, 0.8, 0, 0.0, 0, 0.0, 1, 1, 0, 0), (3, 1.0, 7, 0.0, 9, 0.0, 1, 1, 1, 0), (20, 1.0, 18, 1.0, 0, 0.0, 1, 1, 0, 0), (12, 0.7, 2, 0.0, 50, 0.0, 1, 1, 0, 0),
 )
 
 

@@ -210,6 +210,20 @@ def test_main_text(spark):
     assert got[None].text == got["e"].text == got["b"].text == "" and got["n"].n_chars == len(("plain words " * 3000).strip())
 
 
+def test_main_text_of_pages_without_article():
+    words = lambda n, at: " ".join(f"w{at}x{k}" for k in range(n))
+    body = [("h1", "A short title"), ("p", words(40, 1)), ("h2", "Then this"), ("p", words(25, 2)), ("li", "three short words"), ("li", "of one list here"), ("p", words(12, 3)), ("h2", "More"), ("p", words(60, 4)), ("p", words(18, 5))]
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(6)) + "</ul>"
+    inside = "".join(f"<{t}>{x}</{t}>" for t, x in body)
+    want = "\n\n".join(x for _, x in body)
+    for tag in ("div", "section"):
+        assert html_text.main_text(f"<body><nav>{links}</nav>{links}<{tag}>{inside}</{tag}></body>") == want
+        assert html_text.main_text(f"<body><{tag}>{inside}</{tag}>{links}<footer>(c) all rights</footer></body>") == want
+    see = "<div><a href=x>" + words(14, 9) + "</a></div>"
+    assert words(30, 6) in html_text.main_text(f"<article><p>{words(30, 6)}</p>{see}</article>")
+    assert html_text.main_text(f"<article><p>{words(30, 6)}</p><nav>{see}{links}</nav></article>") == words(30, 6)
+
+
 def test_pipeline_keeps_columns_and_all_ids(spark):
     import corpus_pipeline
 
