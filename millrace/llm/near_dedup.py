@@ -12,12 +12,10 @@ that edits have left without common k-mers are not found, even where their edit
 
 Skew: equal texts are one representative from the start (a partial aggregate). A bucket (a sketch value) is not paired
 out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders. Of
-the buckets that still hold several groups, those of SMALL texts or fewer are paired out; a larger one (a passage that many
-texts share) is dealt to cells by length, two for a text, so that texts whose lengths admit a link share one. Cells of SMALL
-texts or fewer are paired out as well. In each larger one a chief drawn by hash (likelier, if its text lies in many large
-buckets) meets the texts of other groups, in ROUNDS rounds with new chiefs, or until two rounds in a row find no link.
-So a pair that shares a value in a small bucket or cell is always met; one whose shared values all lie in large cells is met only if
-one of it becomes a leader or chief, and can be missed. Links between texts of one group are not searched for.
+the buckets that still hold several groups, those of SMALL texts or fewer are paired out. The texts of larger ones (a passage that many
+texts share) meet by prefixes of their rarest word pairs and classes of length, an exact filter: no two of them that are similar are left out,
+whether they share a bucket or not, and there is no limit on rounds or candidates. So a pair of different groups that shares a value
+is always met, if it can be similar. Links between texts of one group are not searched for.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
 of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
@@ -37,10 +35,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import WordHashes, cut
 
 K, SKETCHES, WIDTH, SIMILARITY = 5, 20, 3, 0.8
-#: Buckets and cells of so many texts that hold several groups are paired out.
+#: Buckets of so many texts that hold several groups are paired out.
 SMALL = 32
-#: How many chiefs a larger cell's texts meet.
-ROUNDS = 8
+#: How many rare word pairs two texts of large buckets have in common, to be aligned.
+SHARED = 32
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -241,16 +239,40 @@ def _lengths_admit(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
-def length_cells(at: DataFrame) -> DataFrame:
-    """key, rep, words, common (in how many buckets the text lies): each bucket's texts in cells by length.
+def rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """u, v: all pairs of texts (rep, text) of different groups that can be similar, by prefixes of their rarest word pairs.
 
-    A class's longest text has 1 / SIMILARITY times the words of its shortest; a cell holds a class and the one below, so
-    each text lies in two and any two texts whose lengths admit a link meet in one.
+    An edit ends two word pairs at most, so of two similar texts of which one has m words, at least 0.6 m - 1 word pairs are common
+    to both. With each text's pairs in one order, rare ones first, the first SHARED common ones lie in the first (number of pairs) - (0.6 m - 1)
+    + SHARED of both: texts that have fewer in common there cannot be similar.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.iloc[lo : lo + 64]
+                found = [hashes.of(t) for t in part["text"]]
+                grams = [labelled(kmers(w, 2)).astype(np.int64) for w in found]
+                n = [len(g) for g in grams]
+                yield pd.DataFrame({"rep": np.repeat(np.array(part["rep"], object), n), "words": np.repeat([len(w) for w in found], n), "gram": np.concatenate(grams)})
+
+    grams = cut(texts.mapInPandas(run, "rep binary, words int, gram bigint"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    alike = F.greatest(F.ceil(3 * F.col("words") / 5 - 1 - 1e-6), F.lit(1))
+    ranked = grams.join(often, "gram").groupBy("rep", "words").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all"))
+    ranked = ranked.withColumn("shared", F.least(alike, F.lit(SHARED)).cast("int")).withColumn("first", (F.size("all") - alike).cast("int") + F.col("shared"))
+    ranked = ranked.join(labels.withColumnRenamed("node", "rep"), "rep")
+    # two classes of length for a text: the longest of a class has 1 / SIMILARITY times the words of its shortest
     own = F.floor(F.log("words") / float(-np.log(SIMILARITY)) + 1e-9)
-    common = at.groupBy("rep").agg(F.count("*").alias("common"))
-    cells = at.drop("common").join(common, "rep").select("key", "rep", "words", "common", F.explode(F.array(own, own + 1)).alias("cell"))
-    return cells.select(F.xxhash64("key", "cell").alias("key"), "rep", "words", "common")
+    at = ranked.select("rep", "words", "shared", "label", own.alias("own"), F.explode(F.slice("all", 1, F.col("first"))).alias("g")).filter("g.often > 1")
+    at = cut(at.select("rep", "words", "shared", "label", "own", F.col("g.gram").alias("gram")))
+    a = at.select("gram", F.col("own").alias("cell"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "words", "shared", "label")])
+    # the other is of the same class or the next, so each pair meets once a common word pair
+    b = at.select("gram", F.explode(F.array("own", F.col("own") - 1)).alias("cell"), "own", *[F.col(c).alias(f"{c}_b") for c in ("rep", "words", "shared", "label")])
+    met = a.join(b, ["gram", "cell"]).filter("label_a <> label_b AND (own > cell OR rep_a < rep_b)").filter(_lengths_admit("words_a", "words_b"))
+    need = F.min(F.least("shared_a", "shared_b")).alias("need")
+    return met.groupBy(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v")).agg(need, F.count("*").alias("n")).filter("n >= need").select("u", "v")
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
@@ -280,45 +302,36 @@ def near_groups(documents: DataFrame) -> DataFrame:
     nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     labels = cut(relabelled(nodes, components(links)))
 
-    def held(at: DataFrame, turn: int) -> DataFrame:
-        """The members of buckets or cells that hold several groups, with their groups, the number of members and a chief."""
+    def held(at: DataFrame) -> DataFrame:
+        """The members of buckets that hold several groups, with their groups and the number of members."""
         now = at.join(labels.withColumnRenamed("node", "rep"), "rep")
-        draw = -F.log((F.shiftrightunsigned(F.xxhash64("rep", "key", F.lit(turn)), 11) + 1) / float(1 << 53)) / F.pow("common", F.lit(2))
-        chief = F.min_by(F.struct("rep", "label", "words"), draw).alias("chief")
-        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"), chief)
+        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"))
         return now.join(mixed.filter("_a <> _b").drop("_a", "_b"), "key")
 
-    def meet(pairs: DataFrame) -> bool:
-        """Verifies pairs that are new and joins groups; False if no link was found."""
+    def meet(pairs: DataFrame) -> None:
+        """Verifies pairs that are new and joins groups."""
         nonlocal tried, links, labels
         fresh = cut(pairs.join(tried, ["u", "v"], "left_anti").distinct())
         if fresh.isEmpty():
-            return False
+            return
         found = cut(verified(fresh, texts))
         links, tried = links.unionByName(found), tried.unionByName(fresh)
         a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
         if found.isEmpty():
-            return False
+            return
         labels = cut(relabelled(labels, components(found.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
-        return True
 
     # the other leaders first: they join most groups
     a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     meet(star.distinct().join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v"))
-    # all pairs of small buckets and cells; chiefs in large ones
-    at, idle = members.select(F.xxhash64("order", "value").alias("key"), "rep", "words", F.lit(1).alias("common")), 0
-    for turn in range(ROUNDS + 1):
-        now = cut(held(at, turn))
-        few = now.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("words", "rep", "label")).alias("all"))
-        x = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-        pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(_lengths_admit("x.words", "y.words"))
-        chief = now.filter(f"n > {SMALL} AND label <> chief.label").filter(_lengths_admit("words", "chief.words")).select("rep", F.col("chief.rep").alias("other"))
-        chief = chief.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v"))
-        joined = meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).unionByName(chief))
-        large, idle = now.filter(f"n > {SMALL}").select("key", "rep", "words", "common"), 0 if joined else idle + 1
-        if idle == 2 or large.isEmpty():
-            break
-        at = large if turn else length_cells(large)
+    # all pairs of small buckets; the texts of large ones by their rare word pairs
+    now = cut(held(members.select(F.xxhash64("order", "value").alias("key"), "rep", "words")))
+    few = now.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("words", "rep", "label")).alias("all"))
+    x = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(_lengths_admit("x.words", "y.words"))
+    meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")))
+    large = held(now.filter(f"n > {SMALL}").select("key", "rep", "words")).select("rep").distinct()
+    meet(rare_pairs(texts.join(large, "rep"), labels))
     names = labels.select(F.col("node").alias("digest"), "label")
     degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))

@@ -85,6 +85,37 @@ def test_near_copies_that_share_a_common_passage(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_rare_pairs_leave_out_no_similar_pair(spark):
+    rng = random.Random(12)
+    passage, texts = prose(rng, 40), []
+    for n in [1, 2, 3, 4, 5, 6, 9] * 2 + [15, 30, 45, 60, 100] * 4:
+        base = (passage if rng.random() < 0.6 else []) + prose(rng, n)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randrange(len(copy) // 5 + 1)):
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.randrange(2)] = [f"edit{rng.randrange(40)}"] * rng.randrange(2) or ["end"]
+            texts.append(" ".join(copy))
+    texts = sorted(set(texts))
+    reps = [i.to_bytes(2, "big") for i in range(len(texts))]
+    labels = spark.createDataFrame([(r, r) for r in reps], "node binary, label binary")
+    got = near_dedup.rare_pairs(spark.createDataFrame(list(zip(reps, texts, strict=True)), "rep binary, text string"), labels).collect()
+    pairs = {(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in got}
+    words = [near_dedup.WordHashes().of(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similar(words[i], words[j])}
+    assert len(want) > 60 and want <= pairs and len(got) == len(pairs) < len(texts) ** 2 / 4
+
+
+def test_one_near_pair_in_each_of_many_groups_of_a_large_bucket(spark):
+    rng = random.Random(9)
+    passage, texts = prose(rng, 150), []
+    for _ in range(120):  # all values of most of these texts lie in buckets that others share
+        own = prose(rng, 90)
+        texts += [" ".join(passage + own), " ".join(passage + own[:40] + [w + "x" if k % 4 == 0 else w for k, w in enumerate(own[40:])])]
+    got = {r.doc_id: r.group_id for r in near_dedup.grouped_documents(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
 
