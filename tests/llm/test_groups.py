@@ -116,6 +116,18 @@ def test_one_near_pair_in_each_of_many_groups_of_a_large_bucket(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_sketches_reach_the_edit_similarity_of_the_relation():
+    rng = np.random.default_rng(6)
+    for similarity, share in ((0.9, 0.98), (0.85, 0.97), (0.8, 0.95)):
+        met = 0
+        for _ in range(150):
+            a = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(200, round(200 * (1 - similarity)), replace=False)] = rng.integers(1, 1 << 62, round(200 * (1 - similarity))).astype(np.uint64)
+            met += bool((near_dedup.sketch(a) == near_dedup.sketch(b)).any())
+        assert met >= share * 150
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
 
