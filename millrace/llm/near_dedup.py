@@ -276,7 +276,7 @@ def rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
-    """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), n_links of its text."""
+    """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), digest, n_links of its text, label (one per group, also where ids are null)."""
     drawn = cut(sketched(documents))
     reps = drawn.groupBy("digest").agg(F.min("_id").alias("_least"), F.first("values").alias("values"), F.first("words").alias("words"))
     reps = cut(reps)
@@ -336,10 +336,10 @@ def near_groups(documents: DataFrame) -> DataFrame:
     degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     ids = named.groupBy("label").agg(F.min("_least").alias("group_id"))
-    named = cut(named.join(ids, "label").join(degree, "digest", "left").select("digest", "group_id", "_least", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = cut(named.join(ids, "label").join(degree, "digest", "left").select("digest", "label", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     blank = F.unhex(F.lit(xxhash.xxh3_128_hexdigest("")))
     rows = drawn.select("_id", "digest").join(named, "digest")
-    return rows.select(F.col("_id").alias("doc_id"), F.when(F.col("digest") == blank, F.col("_id")).otherwise(F.col("group_id")).alias("group_id"), "digest", "n_links")
+    return rows.select(F.col("_id").alias("doc_id"), F.when(F.col("digest") == blank, F.col("_id")).otherwise(F.col("group_id")).alias("group_id"), "digest", "n_links", "label")
 
 
 def grouped_documents(documents: DataFrame) -> DataFrame:
@@ -348,7 +348,20 @@ def grouped_documents(documents: DataFrame) -> DataFrame:
 
 
 def near_stage(documents: DataFrame) -> DataFrame:
-    """One document of each group (the least doc_id, its first text), with the columns of documents."""
-    keep = near_groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    kept = documents.join(keep, documents["doc_id"].eqNullSafe(F.col("_k")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group (the least doc_id, its least digest) and each empty one, with the columns of documents.
+
+    Documents are told apart by doc_id and text: a null doc_id, or one with several texts, is one document per text.
+    """
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh3_128_digest(t))
+
+    groups = near_groups(documents)
+    # empty texts are groups of their own
+    own = F.when(F.col("digest") == F.unhex(F.lit(xxhash.xxh3_128_hexdigest(""))), F.col("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
+    keep = groups.groupBy("label", own.alias("own")).agg(least).select(F.col("k.doc_id").alias("_k"), F.col("k.digest").alias("_d"))
+    told = documents.withColumn("_digest", digest(F.coalesce("text", F.lit(""))))
+    kept = told.join(keep, told["doc_id"].eqNullSafe(F.col("_k")) & (told["_digest"] == F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")

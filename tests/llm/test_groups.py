@@ -128,6 +128,17 @@ def test_sketches_reach_the_edit_similarity_of_the_relation():
         assert met >= share * 150
 
 
+def test_near_stage_keeps_a_document_of_every_group(spark):
+    rng = random.Random(21)
+    a, b, c, d, e = (" ".join(prose(rng, 40)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, d), (None, d), (None, e), (None, a), (8, c + " end"), (9, ""), (10, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1) for i, t in rows], DOCS).repartition(3)
+    kept = near_dedup.near_stage(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(3, a), (7, b), (8, c + " end"), (None, d), (None, e), (9, ""), (10, None)])
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
 
