@@ -2,7 +2,7 @@
 
 A page is one pass of a tag scanner that never fails on broken markup. Text between block-level tags is a block.
 Its features: words, link density, the same of the block before and after, whether it stands in a part of the page
-that names itself page furniture (tag, role, class or id) or as article, and whether it is a heading. The tree (CART,
+that names itself page furniture (tag, role, class or id; 0.5 where a name only hints at it) or as article, and whether it is a heading. The tree (CART,
 Gini) is trained at first use on the labelled table LABELLED below.
 
 Defined cases: null and empty html give an empty text; equal pages give equal texts; nothing is cut off or capped.
@@ -28,12 +28,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NESTS = BLOCKS - {"p", "link", "meta"}
 FURNITURE = frozenset("nav footer aside form menu dialog button label fieldset search".split())
 NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar\w*|side|widget\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|comments?|disqus|replies|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip|copyright|legal|alert)(?=$|[\s_-])""", re.I)
+#: Parts of names that say nothing for or against, names of what holds the article, and prefixes that speak of another element.
+NEUTRAL = re.compile(r"site|page|top|bottom|left|right|global|primary|secondary|area|box|bar|list|container|wrapper|wrap|block|section|items?|links?|btn|button|inner|outer|group|icons?|the|my|js|\d+", re.I)
+HOLDS = frozenset("layout content page main article post entry story".split())
+SPEAKS = frozenset("has no with without".split())
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:until|false))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "furniture", "article", "heading")
-#: Labelled blocks in the order of FEATURES, then 1 for main text. Densities are shares of linked words.
+#: Labelled blocks in the order of FEATURES, then 1 for main text. Densities are shares of linked words; furniture is 0.5 where a name only hints at it.
 LABELLED = (
     (42, 0.0, 12, 0.0, 60, 0.0, 0, 1, 0, 1), (118, 0.02, 42, 0.0, 75, 0.0, 0, 1, 0, 1), (9, 0.0, 3, 1.0, 80, 0.0, 0, 1, 1, 1),
     (6, 0.0, 90, 0.0, 64, 0.0, 0, 1, 1, 1), (1, 0.0, 40, 0.0, 33, 0.0, 0, 1, 0, 1), (3, 0.0, 25, 0.0, 2, 1.0, 0, 1, 0, 1),
@@ -68,6 +73,10 @@ LABELLED = (
     (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (1, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
     (6, 0.5, 2, 1.0, 30, 0.0, 0, 0, 0, 0), (18, 0.7, 40, 0.0, 90, 0.0, 0, 0, 0, 0), (9, 1.0, 45, 0.0, 80, 0.0, 0, 0, 0, 0), (30, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0),
     (2, 0.7, 13, 0.0, 14, 1.0, 0, 0, 0, 0), (200, 1.0, 50, 0.0, 12, 0.0, 0, 0, 0, 0), (7, 0.7, 2, 0.0, 66, 0.0, 0, 0, 0, 0), (50, 0.9, 90, 0.0, 1, 1.0, 0, 0, 0, 0),
+    # names that hint at furniture: prose and headings, lists of links and short notes
+    (60, 0.0, 40, 0.0, 55, 0.0, 0.5, 0, 0, 1), (20, 0.0, 3, 1.0, 0, 0.0, 0.5, 0, 0, 1), (35, 0.2, 8, 0.0, 90, 0.0, 0.5, 1, 0, 1), (14, 0.0, 25, 0.0, 4, 0.0, 0.5, 0, 0, 1),
+    (5, 0.0, 2, 1.0, 40, 0.0, 0.5, 0, 1, 1), (3, 0.0, 40, 0.0, 30, 0.0, 0.5, 1, 1, 1), (8, 0.1, 30, 0.0, 20, 0.0, 0.5, 1, 0, 1), (6, 0.0, 20, 0.0, 5, 0.0, 0.5, 1, 0, 1),
+    (2, 1.0, 3, 1.0, 1, 1.0, 0.5, 0, 0, 0), (12, 0.9, 40, 0.0, 10, 1.0, 0.5, 0, 0, 0), (4, 0.7, 0, 0.0, 30, 0.0, 0.5, 0, 0, 0), (20, 0.8, 60, 0.0, 70, 0.0, 0.5, 0, 0, 0),
     # short first blocks, and headings after link lists
     (3, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 0.0, 8, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1),
     (3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1), (2, 0.0, 1, 0.0, 25, 0.0, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1),
@@ -80,6 +89,8 @@ LABELLED = (
     (1, 1.0, 70, 0.0, 3, 1.0, 0, 1, 0, 1), (40, 0.9, 20, 0.0, 35, 0.0, 0, 1, 0, 1), (18, 0.5, 45, 0.0, 90, 0.0, 0, 1, 0, 1), (6, 1.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1),
     (90, 0.6, 5, 1.0, 6, 1.0, 0, 1, 0, 1), (2, 1.0, 15, 0.3, 25, 0.1, 0, 1, 0, 1), (15, 1.0, 14, 1.0, 16, 1.0, 0, 1, 0, 1), (30, 0.55, 1, 0.0, 10, 0.9, 0, 1, 0, 1),
     (2, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 1), (1, 0.0, 3, 1.0, 4, 0.0, 0, 1, 0, 1), (4, 0.0, 6, 1.0, 2, 1.0, 0, 1, 0, 1), (3, 0.0, 14, 0.95, 0, 0.0, 0, 1, 0, 1),
+    (3, 0.0, 0, 0.0, 2, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 4, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 0, 0.0, 1, 0.0, 0, 1, 0, 1), (4, 0.1, 0, 0.0, 2, 1.0, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 1, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 0.0, 4, 1.0, 0, 1, 0, 1),
     # furniture within <article>: lists of links, and prose
     (4, 1.0, 3, 1.0, 5, 1.0, 1, 1, 0, 0), (2, 1.0, 50, 0.0, 4, 1.0, 1, 1, 0, 0), (14, 0.9, 12, 0.9, 40, 0.0, 1, 1, 0, 0), (35, 0.6, 20, 0.0, 30, 0.0, 1, 1, 0, 0),
     (9, 0.5, 30, 0.0, 2, 1.0, 1, 1, 0, 0), (1, 1.0, 25, 0.0, 60, 0.0, 1, 1, 0, 0), (40, 0.0, 60, 0.0, 20, 0.0, 1, 1, 0, 0), (6, 0.0, 3, 1.0, 2, 1.0, 1, 1, 0, 0),
@@ -120,10 +131,27 @@ def keeps(row: tuple) -> bool:
     return at >= 0.5
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+def named(value: str) -> int:
+    """Whether a class or id names furniture: 0 no, 1 it hints at it, 2 it does."""
+    got = 0
+    for name in value.split():
+        if not NAMES.search(name):
+            continue
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        for k, x in enumerate(parts):
+            if x.lower() in SPEAKS:
+                parts = parts[:k]
+                break
+        listed = [bool(NAMES.search(x)) for x in parts]
+        if any(listed):
+            got = max(got, 2 if all(ok or NEUTRAL.fullmatch(x) for ok, x in zip(listed, parts, strict=True)) else 1)
+    return 1 if got == 2 and any(x.lower() in HOLDS for x in value.split()) else got
+
+
+def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool]]:
     """(text, words, linked words, in furniture, in article, heading) for each block with words."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    out: list[tuple[str, int, int, float, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture (1 hinted at by a name, 2 named, 3 by tag, role or hidden), article
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -135,8 +163,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                _, furniture, article = stack[-1] if stack else ("", False, False)
-                out.append((" ".join(words), len(words), min(n, len(words)), furniture, article, heading))
+                _, furniture, article = stack[-1] if stack else ("", 0, False)
+                out.append((" ".join(words), len(words), min(n, len(words)), min(furniture, 2) / 2, article, heading))
             parts.clear()
             linked.clear()
 
@@ -196,19 +224,28 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             stack.pop()
         if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in ("article", "main"):
-            article = True
-        furniture = furniture or name in FURNITURE or (name == "header" and not article)
-        if attrs and not furniture and name not in ("html", "body"):
+        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        opens = name in ("article", "main")
+        article = article or opens
+        if name in FURNITURE or (name == "header" and not article):
+            furniture = 3
+        if attrs and furniture < 3 and name not in ("html", "body"):
+            own = 0
             for a in ATTR.finditer(attrs):
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "role":
-                    furniture = furniture or value.lower() in ROLES
-                elif name not in ("article", "main") and NAMES.search(value):
-                    furniture = True
-            furniture = furniture or bool(HIDDEN.search(attrs))
-        if block or furniture != (stack[-1][1] if stack else False):
+                    furniture = 3 if value.lower() in ROLES else furniture
+                else:  # a header within an article is its own
+                    own = max(own, named(HEADER.sub("", value) if article else value))
+            if HIDDEN.search(attrs):
+                furniture = 3
+        else:
+            own = 0
+        if opens:  # not furniture by an outer name, unless its own says so (comments)
+            furniture = furniture if furniture == 3 or own == 2 else 0
+        else:
+            furniture = max(furniture, own)
+        if block or furniture != (stack[-1][1] if stack else 0):
             if not block:
                 flush()
             stack.append((name, furniture, article))
@@ -220,7 +257,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    edge = ("", 0, 0, False, False, False)
+    edge = ("", 0, 0, 0.0, False, False)
     shares = [(b[1], b[2] / b[1] if b[1] else 0.0) for b in (edge, *found, edge)]
     kept = []
     for k, b in enumerate(found):

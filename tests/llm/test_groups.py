@@ -278,6 +278,21 @@ def test_main_text_of_pages_without_article():
     assert html_text.main_text(f"<article><p>{words(30, 6)}</p><nav>{see}{links}</nav></article>") == words(30, 6)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content-with-sidebar", "legal-article", "social-science", "sidebar"])
+def test_names_do_not_take_articles_away(name):
+    text = " ".join(f"word{k}" for k in range(40))
+    inner = f"<h1>A title</h1><p>{text}</p><div class='share-links'>Tell all your friends about this one today please</div>"
+    want = f"A title\n\n{text}"
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<div class='{name}'><{tag}>{inner}</{tag}></div>") == want
+    if name != "sidebar":
+        assert html_text.main_text(f"<div class='{name}'>{inner}</div>") == want
+    for own in ("entry-header", "post-header", "header"):
+        assert html_text.main_text(f"<article><div class={own}><h1>A title</h1></div><p>{text}</p></article>") == want
+    comment = f"<div class=comments><article class=comment><p>{text}</p></article></div>"
+    assert html_text.main_text(f"<aside><article>{inner}</article></aside>{comment}<div class='site-footer'>{text}</div>") == ""
+
+
 def test_pipeline_keeps_columns_and_all_ids(spark):
     import corpus_pipeline
 
