@@ -1,6 +1,7 @@
 """Secret scan: three base patterns, and a character convolutional network over every other candidate in its context.
 
-Candidates are all maximal runs of 16 or more characters of the secret alphabet that hold a digit. The network (one-hot
+Candidates are all maximal runs of 16 or more characters of the secret alphabet, with or without digits; of one over BODY characters,
+its ends, windows that slide over it and its parts between separators are scored, and the highest score counts. The network (one-hot
 character classes, 16 filters of width 5, maximum pooling over the candidate and over its context, a logistic layer)
 is trained in numpy on labelled findings drawn from a generator of secrets and look-alikes. Its scores are calibrated
 on a held-out part of these, and the threshold is the highest that keeps RECALL of the held-out secrets.
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+=]{16,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "cnn")
 BEFORE, BODY, AFTER = 20, 40, 12
 LENGTH = BEFORE + BODY + AFTER
 WIDTH, FILTERS = 5, 16
 RECALL = 0.97
-_CLASSES = {c: k + 1 for k, group in enumerate([*"=:\"'@/.-_+ ", "\n\t\r", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "01234", "56789", "(){}[]<>", ",;!?|&%$#*"]) for c in group}
+_CLASSES = {c: k + 1 for k, group in enumerate([*"=:\"'@/.-_+ ", "\n\t\r", "ae", "bcdf", "iou", "lnrst", "ghmpwy", "jkqvxz", "AE", "BCDF", "IOU", "LNRST", "GHMPWY", "JKQVXZ", "01234", "56789", "(){}[]<>", ",;!?|&%$#*"]) for c in group}
 N_CLASSES = 2 + max(_CLASSES.values())
 
 
@@ -66,40 +68,54 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + body.ljust(BODY, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def windows_of(text: str, start: int, end: int) -> list[str]:
+    """The windows of a candidate: one, or for a long one those of its ends, of each BODY characters and of each long part between separators."""
+    out = [window(text, start, end)]
+    if end - start > BODY:
+        spots = [(k, k + BODY) for k in range(start, end - BODY, BODY // 2)] + [(end - BODY, end)]
+        spots += [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
+        out += [window(text, s, e) for s, e in spots]
+    return out
+
+
 def encode(windows: list[str]) -> np.ndarray:
     other = N_CLASSES - 1
     return np.array([[0 if c == "\0" else _CLASSES.get(c, other) for c in w] for w in windows], np.int64).reshape(-1, LENGTH)
 
 
-def labelled_findings(n: int = 2400, seed: int = 11) -> tuple[list[str], np.ndarray]:
+def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[str], np.ndarray]:
     """Windows of secrets (1) and of look-alikes (0), in equal numbers."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     run = lambda alphabet, lo, hi: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), int(rng.integers(lo, hi + 1))))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
-    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+    parts = ["sch", "ch", "ung", "ein", "lich", "keit", "eau", "que", "ment", "tion", "aux", "ble", "th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
     word = lambda lo=1, hi=4: "".join(pick(parts) for _ in range(int(rng.integers(lo, hi + 1))))
     prose = lambda k: " ".join(word() for _ in range(k))
     secrets = [
         lambda: run(dig + "abcdef", 16, 64), lambda: run(dig + "ABCDEF", 20, 64), lambda: run(low + up + dig, 20, 44) + "7", lambda: run(low + up + dig + "+/", 24, 64) + "4=",
         lambda: pick(["ghp_", "gho_", "pk_live_", "rk_test_", "glpat-", "npm_", "hf_"]) + run(low + up + dig, 20, 36), lambda: "xoxb-" + run(dig, 10, 12) + "-" + run(low + up + dig, 20, 26),
         lambda: "eyJ" + run(low + up + dig, 20, 40) + "." + run(low + up + dig + "-_", 30, 60), lambda: pick(["AKIA", "ASIA"]) + run(up + dig, 14, 16), lambda: run(low + dig, 24, 40) + "0q", lambda: run(up + dig, 20, 32) + "2Z",
+        lambda: run(low, 16, 24), lambda: run(low + up, 20, 44), lambda: run(low + up, 16, 20), lambda: run(up, 20, 32),
     ]
     plain = [
         lambda: word(2, 3) + "." + word(2, 3) + run(dig, 1, 4), lambda: run(dig, 16, 19), lambda: "-".join((run(dig, 4, 4), run(dig, 2, 2), run(dig, 2, 2))) + "T" + run(dig, 2, 2) + run(dig, 4, 4),
         lambda: "/".join([word(2, 4), word(2, 4), word(1, 3) + run(dig, 1, 3)]) + pick([".html", ".py", ".png", ""]), lambda: "_".join(word(1, 3) for _ in range(4)) + run(dig, 1, 2), lambda: word(7, 10) + run(dig, 1, 2),
         lambda: "".join(word(1, 2).title() for _ in range(5)) + run(dig, 1, 2), lambda: ".".join(run(dig, 1, 4) for _ in range(6)), lambda: "-".join(word(1, 3) for _ in range(4)) + "-" + run(dig, 2, 5), lambda: pick("=-_.") * 18 + run(dig, 1, 1),
         lambda: word(1, 2) * 6 + run(dig, 1, 2), lambda: "mail" + run(dig, 1, 3) + "." + word(3, 4) + ".example", lambda: run(dig, 3, 4) + "-" + run(dig, 3, 4) + "-" + run(dig, 4, 6) + "-" + run(dig, 4, 4),
+        lambda: word(7, 11), lambda: word(7, 10).title() + ".", lambda: word(7, 10).upper(), lambda: "/".join(word(2, 4) for _ in range(5)), lambda: "-".join(word(2, 4) for _ in range(3)), lambda: "".join(word(2, 3).title() for _ in range(3)),
     ]
     leads = [lambda: " ", lambda: "=", lambda: ": ", lambda: ' "', lambda: "'", lambda: "\n", lambda: pick(["key", "auth", "sig", "bearer", "client_id", "hash"]) + pick(["=", ": ", " = ", ' = "'])]
     windows, y = [], np.arange(n) % 2
     for k in y:
         body = pick(secrets)() if k else pick(plain)()
-        while len(body) < 16 or not any(c.isdigit() for c in body):
-            body += pick(parts) + pick(dig) if not k else pick(low + dig) + pick(dig)
+        while len(body) < 16:
+            body += pick(parts) if not k else pick(low)
         mail = not k and rng.random() < 0.2
         before = prose(4) + (pick(leads)() if k or not mail else pick([" ", " " + word() + "@"]))
         after = ("@" + word(2, 3) + ".com " if mail and "@" not in before else pick([" ", "\n", '" ', ", ", ". "])) + prose(3)
+        if rng.random() < 0.15:  # a part of a longer run
+            before, after = before + word(2, 4) + pick("/.=-_"), pick("/.=-_") + word(2, 4) + after
         text = before + body + after
         windows.append(window(text, len(before), len(before) + len(body)))
     return windows, y.astype(float)
@@ -186,11 +202,14 @@ def scan(documents: DataFrame) -> DataFrame:
                     found.append([(s, k, e, 1.0) for s, k, e in base])
                     for s, e in candidates(text):
                         if not any(s < be and bs < e for bs, _, be in base):
-                            asked.append((n, s, e))
-                            windows.append(window(text, s, e))
-                for (n, s, e), p in zip(asked, probability(windows, net), strict=True):
+                            own = windows_of(text, s, e)
+                            asked.append((n, s, e, len(windows), len(windows) + len(own)))
+                            windows += own
+                scores = probability(windows, net)
+                for n, s, e, lo_, hi_ in asked:
+                    p = float(scores[lo_:hi_].max())
                     if p >= net["threshold"][0]:
-                        found[n].append((s, 3, e, float(p)))
+                        found[n].append((s, 3, e, p))
                 spans = [[{"kind": KINDS[k], "start": s, "end": e, "probability": p} for s, k, e, p in sorted(f)] for f in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "findings": spans})
 

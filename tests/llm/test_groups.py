@@ -246,6 +246,15 @@ def test_secrets(spark):
     assert p[y == 1].mean() >= 0.93 and p[y == 0].mean() <= 0.03
 
 
+def test_secrets_without_digits_and_within_long_runs(spark):
+    rng = random.Random(3)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(20)]
+    inside = ["/srv/" + "/".join(["home", "reports", "station", "another", "one"]) + f"/{x[:12]}9{x[12:]}/" + "/".join(["winter", "the", "station", "there", "end"]) for x in letters]
+    texts = [f"key = {x} and more" for x in letters] + [f"see {x} for more" for x in inside] + ["see internationalisation, counterrevolutionary ENTERTAINMENTSTATION here"]
+    got = {r.doc_id: r.n_cnn for r in secret_scan.secret_spans(frame(spark, texts)).collect()}
+    assert sum(got[i] for i in range(20)) >= 18 and sum(got[i] for i in range(20, 40)) >= 18
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</article>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a><li><a href='/b>'>News</a></ul></nav><!-- <p>old</p> -->
 <div id=cookie-notice>We use cookies to make this site better for you and all others, please agree.</div>
