@@ -1,7 +1,7 @@
 """Media columns: bytes kept as 8-bit WAV, read by the wave module, short-time Fourier transform, spectral-peak pairs.
 
 Stored form: one channel, 8-bit unsigned samples, 8000 a second; the payload's bytes are the samples, so nothing is lost.
-Fingerprint: the spectrogram (256-sample Hann frames, hop 128) is divided into bands; a band's loudest bin is a
+Fingerprint: the spectrogram (256-sample Hann frames, hop 128; silence fills the last hop) is divided into bands; a band's loudest bin is a
 peak if it is a maximum over the frames around it and above the file's mean. Peaks of one band are paired with
 their next `fan` peaks within 63 frames; each pair becomes the long  frame << 32 | band << 28 | f1 << 20 | f2 << 8 | dt.
 
@@ -52,8 +52,9 @@ def from_wav(stored: bytes) -> bytes:
 def spectrum_peaks(samples: bytes, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Of each frame and band the loudest bin and its magnitude; `chunk` frames are transformed at a time."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    short = max(FRAME - len(x), -len(x) % HOP)
+    if short:
+        x = np.concatenate([x, np.full(short, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bins = np.empty((len(frames), len(BANDS) - 1), np.int64)
     loud = np.empty(bins.shape, np.float32)

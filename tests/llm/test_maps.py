@@ -93,6 +93,14 @@ def test_fingerprint_finds_a_tone_wherever_it_stands():
     assert len(media.fingerprint(b"\x80" * 4096)) == 0
 
 
+def test_frames_cover_the_last_samples():
+    x = np.random.default_rng(2).integers(0, 256, 1024 + 64, np.uint8)
+    y = x.copy()
+    y[-64:] = np.random.default_rng(3).integers(0, 256, 64, np.uint8)
+    a, b = media.spectrum_peaks(x.tobytes())[1], media.spectrum_peaks(y.tobytes())[1]
+    assert len(a) == 8 and (a[:-1] == b[:-1]).all() and (a[-1] != b[-1]).any()
+
+
 def test_spectrum_in_chunks_is_the_same():
     x = np.random.default_rng(1).integers(0, 256, 9000, np.uint8).tobytes()
     assert all((a == b).all() for a, b in zip(media.spectrum_peaks(x), media.spectrum_peaks(x, 7), strict=True))
