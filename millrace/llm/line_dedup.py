@@ -1,19 +1,25 @@
-"""Line dedup: prefix doubling over line-ID sequences; groups of equal prefixes are the LCP intervals; later copies go.
+"""Line dedup: the suffix array over line-ID sequences, by distributed prefix doubling; later copies of maximal repeated runs go.
 
-A document is the sequence of the IDs (two 64-bit hashes) of its lines that hold words. Doubling round j names the 2^j
-lines that start at each position by the names of their halves, so that equal names mean equal runs. The suffixes with
-one name are one interval of the suffix array whose longest common prefix is 2^j lines at least; alphabetical order
-among intervals carries no meaning for hashed IDs and is not computed. Positions whose name is unique leave the work
-after each round; it ends when none is left.
+A document is the sequence of the IDs (two 64-bit hashes) of its lines that hold words. Doubling round k names the 2^k
+lines that start at each position by the names of their halves; equal names are equal runs, so the positions with one name are one
+interval of the suffix array, whose longest common prefix is 2^k lines at least. Positions whose name is unique leave the
+work, and it ends when none is left. The order among intervals carries no meaning for hashed IDs and is not computed.
 
-What goes: in every interval all runs but the first in corpus order (doc_id, then text hash, then line), if a run has two
-lines or more, or is one line of MIN_WORDS words or more. An earlier copy of a run holds an earlier copy of each
-part of it, so pairs of lines and single lines decide for maximal runs of any length; longer intervals tell how long the
-repeats are. Names are grouped by partial aggregation, and their members are found by joins that can be split; no group is gathered.
+Then the intervals of all other lengths are found by descending the powers of two: an interval of common prefix n
+falls apart by the names of the 2^m lines that follow its prefix, and each part of two positions or more is an interval of common prefix
+n + 2^m. The first position of a part stays behind as its witness, all others go on, so that at the end
+every position knows its longest previous factor: the longest run of lines from it on that also starts at an earlier position.
+
+What goes: the lines of every such run (so of every maximal repeated run, as its later copy) that holds MIN_WORDS words or more
+in all. Earlier is by doc_id, then text hash, then line. The first copy of a line always stays.
+
+Skew: names are grouped by partial aggregation; their members are found by joins with a written table of repeated names, which adaptive
+execution can split, so a line that a third of all rows hold is no task of its own. No group is gathered.
 
 Defined cases: null texts are empty; lines without words are kept and are no part of a run; rows with the same doc_id and
-text are one document and get one result; a null doc_id comes first; texts that change keep their other lines as they
-were; all other columns pass through.
+text are one document and get one result; a null doc_id comes first; a run may overlap its earlier copy (a line repeated n times
+stays once); texts that change keep their other lines as they were; texts of any length are read whole; an empty table gives no rows;
+all other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import cut
 from millrace.llm.mixing import words_in
 
-MIN_WORDS = 4
+MIN_WORDS = 6
 _AT = ("_d", "_h", "_s")
 
 
@@ -35,88 +41,120 @@ def _name(*parts: Column | str) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(97), *parts).alias("b"))
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_d", F.col("doc_id")).withColumn("_h", F.xxhash64("text"))
+def _place() -> Column:
+    """Of the corpus order; nulls come first."""
+    return F.struct(*_AT)
 
 
 def line_table(documents: DataFrame) -> DataFrame:
-    """Every line with words: document, place among these lines (_s), place among all lines (idx), name, words."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("idx"), x.alias("line"), words_in(x).alias("words")))
-    kept = F.transform(F.filter(lines, lambda x: x["words"] > 0), lambda x: F.struct(x["idx"].alias("idx"), _name(x["line"]).alias("name"), x["words"].cast("int").alias("words")))
-    return _keyed(documents).select("_d", "_h", F.posexplode(kept).alias("_s", "x")).select(*_AT, "x.idx", "x.name", "x.words")
-
-
-def repeated(positions: DataFrame) -> DataFrame:
-    """The positions whose name stands at two places or more, with `later`: not the first of its name."""
-    place = F.struct(*_AT)
-    groups = positions.groupBy("name").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first <> _last OR (_first IS NULL) <> (_last IS NULL)")
-    groups = groups.select(F.col("name").alias("_n"), "_first")
-    return positions.join(groups, F.col("name") == F.col("_n")).withColumn("later", ~F.struct(*_AT).eqNullSafe(F.col("_first"))).drop("_n", "_first")
-
-
-def doubled(active: DataFrame, k: int) -> DataFrame:
-    """Runs of 2k lines from the names of runs of k lines."""
-    right = active.select(F.col("_d").alias("_rd"), F.col("_h").alias("_rh"), (F.col("_s") - k).alias("_rs"), F.col("name").alias("_rn"))
-    on = F.col("_d").eqNullSafe(F.col("_rd")) & (F.col("_h") == F.col("_rh")) & (F.col("_s") == F.col("_rs"))
-    return active.join(right, on).select(*_AT, _name("name", "_rn").alias("name"))
-
-
-def later_copies(documents: DataFrame, min_words: int = MIN_WORDS, longest: int | None = None) -> DataFrame:
-    """One row per document with lines to delete: _d, _h, gone (their places), level (lines of the longest doubled repeat)."""
-    lines = cut(line_table(documents))
-    ones = cut(repeated(lines).dropDuplicates(list(_AT)))
-    marks = [ones.filter(F.col("later") & (F.col("words") >= min_words)).select(*_AT, F.lit(1).alias("level"))]
-    active, k = ones.select(*_AT, "name"), 1
-    while longest is None or 2 * k <= longest:
-        found = cut(repeated(doubled(active, k)))
+    """Every line with words: document (_d, _h), place among these lines (_s), name."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: words_in(x) > 0)
+    names = F.transform(lines, lambda x: _name(x))
+    return documents.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.posexplode(names).alias("_s", "name"))
+
+
+def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose values of `by` stand at two places or more, with `later`: not the first of these."""
+    groups = rows.groupBy(*by).agg(F.min(_place()).alias("_first"), F.max(_place()).alias("_last")).filter("NOT (_first <=> _last)")
+    groups = cut(groups.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_first"))
+    on = [F.col(c) == F.col(f"_g{k}") for k, c in enumerate(by)]
+    return rows.join(groups, on).withColumn("later", ~_place().eqNullSafe(F.col("_first"))).select(*rows.columns, "later")
+
+
+def _ahead(rows: DataFrame, names: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """rows with `next`: the name at the place `by` lines further on in the same document."""
+    right = names.select(F.col("_d").alias("_rd"), F.col("_h").alias("_rh"), F.col("_s").alias("_rs"), F.col("name").alias("next"))
+    on = F.col("_d").eqNullSafe(F.col("_rd")) & (F.col("_h") == F.col("_rh")) & (F.col("_s") + by == F.col("_rs"))
+    return rows.join(right, on, how).drop("_rd", "_rh", "_rs")
+
+
+def doubled(documents: DataFrame, longest: int | None = None) -> list[DataFrame]:
+    """For k = 0, 1, ..: the places of runs of 2^k lines that are repeated, with name and later."""
+    levels = [cut(repeated(line_table(documents), ["name"]).dropDuplicates(list(_AT)))]
+    while longest is None or 1 << len(levels) <= longest:
+        at = levels[-1].select(*_AT, "name")
+        pairs = _ahead(at, at, F.lit(1 << len(levels) - 1)).select(*_AT, _name("name", "next").alias("name"))
+        found = cut(repeated(pairs, ["name"]))
         if found.isEmpty():
             break
-        k *= 2
-        runs = found.filter("later").select(*_AT, F.lit(k).alias("level"))
-        marks.append(runs.withColumn("_s", F.explode(F.array("_s", F.col("_s") + 1))) if k == 2 else runs)
-        active = found.select(*_AT, "name")
-    all_ = marks[0]
-    for m in marks[1:]:
-        all_ = all_.unionByName(m)
-    # a longer repeat starts with pairs that are marked already
-    by_place = all_.groupBy(*_AT).agg(F.max("level").alias("level"))
-    places = ones.select(*(F.col(c).alias(f"_o{c}") for c in _AT), "idx")
-    same = F.col("_d").eqNullSafe(F.col("_o_d")) & (F.col("_h") == F.col("_o_h")) & (F.col("_s") == F.col("_o_s"))
-    return by_place.join(places, same).groupBy("_d", "_h").agg(F.collect_list("idx").alias("gone"), F.max("level").alias("level"))
-
-
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+        levels.append(found)
+    return levels
+
+
+def previous_factors(documents: DataFrame, longest: int | None = None) -> DataFrame:
+    """_d, _h, _s, length: for every place whose line stands at an earlier place, the lines of the longest run from there on that does."""
+    levels = doubled(documents, longest)
+    top = len(levels) - 1
+    later = [x.filter("later").select(*[F.col(c).alias(f"_k{c}") for c in _AT]) for x in levels]
+    out, parts = [], None
+
+    def own(k: int) -> DataFrame:
+        """The members of the intervals of 2^k lines that have no earlier copy of 2^(k+1): those after the first are to be extended."""
+        rows = levels[k].select(*_AT, F.lit(1 << k).alias("length"), F.col("name").alias("node"), F.col("later").alias("active"))
+        if k == top:
+            return rows
+        x = later[k + 1]
+        on = F.col("_d").eqNullSafe(F.col("_k_d")) & (F.col("_h") == F.col("_k_h")) & (F.col("_s") == F.col("_k_s"))
+        return rows.join(x, on, "left_anti")
+
+    for m in range(top - 1, -1, -1):
+        parts = own(m + 1) if parts is None else parts.unionByName(own(m + 1))
+        parts = cut(_ahead(parts, levels[m], F.col("length"), "left"))
+        split = repeated(parts.filter("next IS NOT NULL"), ["node", "next"])
+        # what stays in its interval: what no part of two takes, and the first of each part
+        moved = split.filter("later").select(*_AT, (F.col("length") + (1 << m)).alias("length"), _name("node", "next").alias("node"), "active")
+        witness = split.filter("NOT later").select(*_AT, (F.col("length") + (1 << m)).alias("length"), _name("node", "next").alias("node"), F.lit(False).alias("active"))
+        gone = split.filter("later").select(*[F.col(c).alias(f"_m{c}") for c in _AT], F.col("node").alias("_mnode"))
+        on = F.col("_d").eqNullSafe(F.col("_m_d")) & (F.col("_h") == F.col("_m_h")) & (F.col("_s") == F.col("_m_s")) & (F.col("node") == F.col("_mnode"))
+        stay = parts.drop("next").join(gone, on, "left_anti")
+        parts = cut(stay.unionByName(moved).unionByName(witness))
+    out.append(own(0).filter("active").select(*_AT, "length"))
+    if parts is not None:
+        out.append(parts.filter("active").select(*_AT, "length"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_deleted", T.LongType())]))
+def _without(texts: pd.Series, starts: pd.Series, lengths: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """Texts without the lines of runs of `least` words or more; runs count the lines with words."""
     out = []
-    for t, g in zip(text, gone, strict=True):
-        if g is None or len(g) == 0:
-            out.append(t)
-        else:
-            drop = set(g)
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-    return pd.Series(out, dtype=object)
-
-
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later copies deleted from text, and n_deleted, level. Null texts become empty."""
-    gone = later_copies(documents, min_words).select(F.col("_d").alias("_gd"), F.col("_h").alias("_gh"), "gone", "level")
-    docs = _keyed(documents)
-    joined = docs.join(gone, F.col("_d").eqNullSafe(F.col("_gd")) & (F.col("_h") == F.col("_gh")), "left")
-    rest = [c for c in documents.columns if c != "text"]
-    return joined.select(
-        *[docs[c] for c in rest],
-        _without(F.coalesce(docs["text"], F.lit("")), F.col("gone")).alias("text"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_deleted"),
-        F.coalesce("level", F.lit(0)).cast("long").alias("_level"),
-    )
-
-
-def deduped_documents(documents: DataFrame) -> DataFrame:
+    for text, at, n, most in zip(texts, starts, lengths, least, strict=True):
+        if at is None or len(at) == 0:
+            out.append((text, 0))
+            continue
+        lines = text.split("\n")
+        words = [len(x.encode().split()) for x in lines]  # parted by ASCII white space
+        places = [k for k, w in enumerate(words) if w]
+        upto = [0]
+        for k in places:
+            upto.append(upto[-1] + words[k])
+        gone, end = set(), 0
+        for s, run in sorted(zip(at.tolist(), n.tolist(), strict=True)):
+            if s + run > end and upto[s + run] - upto[s] >= most:
+                gone.update(places[max(s, end) : s + run])
+                end = s + run
+        out.append(("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return pd.DataFrame(out, columns=["text", "n_deleted"])
+
+
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, longest: int | None = None) -> DataFrame:
+    """The documents without later copies, as struct columns: row (the columns as they were) and new (text, n_deleted). Null texts become empty.
+
+    longest: the doubling stops at runs of so many lines (for tests)."""
+    runs = previous_factors(documents.select("doc_id", "text"), longest).groupBy("_d", "_h").agg(F.collect_list(F.struct("_s", "length")).alias("runs"))
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("row.text") == F.col("_h"))
+    joined = docs.join(runs, on, "left")
+    new = _without(F.coalesce(F.col("row.text"), F.lit("")), F.col("runs")["_s"], F.col("runs")["length"], F.lit(min_words))
+    return joined.select("row", new.alias("new"))
+
+
+def deduped_documents(documents: DataFrame, longest: int | None = None) -> DataFrame:
     """The rows that op3 returns."""
-    return dedup_lines(documents.select("doc_id", "text")).select("doc_id", "text", F.col("_n_deleted").alias("n_deleted"))
+    return dedup_lines(documents.select("doc_id", "text"), longest=longest).select("row.doc_id", "new.text", "new.n_deleted")
 
 
 def line_stage(documents: DataFrame) -> DataFrame:
     """Documents without later copies, with the columns of documents; those of which no word is left go."""
-    out = dedup_lines(documents).filter((F.col("_n_deleted") == 0) | (words_in(F.col("text")) > 0))
-    return out.select(*documents.columns)
+    out = dedup_lines(documents).filter((F.col("new.n_deleted") == 0) | (words_in(F.col("new.text")) > 0))
+    return out.select(*[F.col("new.text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

@@ -94,16 +94,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
 WITH l AS (
-  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents),
 w AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words FROM l),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s,
-    lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w WHERE words > 0),
-f AS (SELECT *,
-    row_number() OVER (PARTITION BY line ORDER BY doc_id, s) > 1 AS again,
-    next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, s) > 1 AS pair FROM s),
-g AS (SELECT doc_id, i, (again AND words >= 4) OR pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM f)
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM w WHERE words > 0),
+pairs AS (  -- equal lines at an earlier place
+  SELECT b.doc_id, b.i, b.s, b.words, a.doc_id AS from_id, b.s - a.s AS shift
+  FROM s b JOIN s a ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.s < b.s)),
+runs AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, from_id, shift ORDER BY s) AS run FROM pairs),
+sized AS (SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, from_id, shift, run) AS total FROM runs),
+g AS (SELECT DISTINCT doc_id, i, true AS gone FROM sized WHERE total >= 6)
 SELECT w.doc_id, coalesce(string_agg(line, chr(10) ORDER BY w.i) FILTER (NOT coalesce(gone, false)), '') AS text,
   CAST(count(*) FILTER (coalesce(gone, false)) AS BIGINT) AS n_deleted
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id""",
