@@ -5,7 +5,9 @@ Its features: words, link density, the same of the block before and after, wheth
 that names itself page furniture (tag, role, class or id; 0.5 where a name only hints at it) or as article, and whether it is a heading. The tree (CART,
 Gini) is trained at first use on the labelled table LABELLED below.
 
-Defined cases: null and empty html give an empty text; equal pages give equal texts; nothing is cut off or capped.
+Defined cases: null and empty html give an empty text; equal pages give equal texts; repeated rows are read each; hidden elements and formulas
+are text like any other; an empty table gives no rows; pages of any length are read whole, nothing is cut off or capped;
+columns besides page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
-RAW = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math", "canvas", "video", "audio", "xmp", "noembed", "noframes")}
+#: Comments, declarations, tags. A quote counts only behind an equals sign, as browsers read it; loops do not go back, so broken markup costs no more.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
+RAW = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "canvas", "video", "audio", "xmp", "noembed", "noframes")}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Block-level tags that close an open p.
@@ -35,7 +38,6 @@ SPEAKS = frozenset("has no with without".split())
 HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:until|false))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "furniture", "article", "heading")
 #: Labelled blocks in the order of FEATURES, then 1 for main text. Densities are shares of linked words; furniture is 0.5 where a name only hints at it.
@@ -151,7 +153,7 @@ def named(value: str) -> int:
 def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool]]:
     """(text, words, linked words, in furniture, in article, heading) for each block with words."""
     out: list[tuple[str, int, int, float, bool, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, furniture (1 hinted at by a name, 2 named, 3 by tag, role or hidden), article
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture (1 hinted at by a name, 2 named, 3 by tag or role), article
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -183,10 +185,10 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool]]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        closes, attrs = m[1] or m[4], m[3] or m[6] or ""
+        closes, attrs = m[1], m[3] or ""
         if name in RAW:
             if not closes and not attrs.rstrip().endswith("/"):
                 end = RAW[name].search(page, at)
@@ -237,8 +239,6 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool]]:
                     furniture = 3 if value.lower() in ROLES else furniture
                 else:  # a header within an article is its own
                     own = max(own, named(HEADER.sub("", value) if article else value))
-            if HIDDEN.search(attrs):
-                furniture = 3
         else:
             own = 0
         if opens:  # not furniture by an outer name, unless its own says so (comments)
