@@ -1,14 +1,15 @@
-"""Secret scan: three base patterns, and a character convolutional network over every other candidate in its context.
+"""Secret scan: three base patterns, and a character convolutional network over every candidate in its context.
 
-Candidates are all maximal runs of 16 or more characters of the secret alphabet, with or without digits; of one over BODY characters,
-its ends, windows that slide over it and its parts between separators are scored, and the highest score counts. The network (one-hot
+Candidates are the base findings and all maximal runs of 16 or more characters of the secret alphabet, with or without digits. Of one over BODY
+characters, windows that slide over the whole of it and its parts between separators are scored, and the highest score counts. The network (one-hot
 character classes, 16 filters of width 5, maximum pooling over the candidate and over its context, a logistic layer)
 is trained in numpy on labelled findings drawn from a generator of secrets and look-alikes. Its scores are calibrated
-on a held-out part of these, and the threshold is the highest that keeps RECALL of the held-out secrets.
-Base spans are always kept; the network adds spans (kind cnn) that touch no base span. Offsets are code points, end exclusive.
+on a second part of these, and the threshold is the highest that keeps RECALL of the secrets of a third.
+Base spans are always kept, with the probability that the network gives them; it adds spans (kind cnn) for the other candidates over the threshold, unless one
+base span covers them. Offsets are code points, end exclusive.
 
 Defined cases: null texts are empty; texts without findings have zero counts and the digest of the empty string;
-repeated rows are scanned each; whole texts of any length are scanned; columns besides doc_id and text are not read.
+repeated rows are scanned each; whole texts of any length are scanned; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,17 +38,20 @@ WIDTH, FILTERS = 5, 16
 RECALL = 0.97
 _CLASSES = {c: k + 1 for k, group in enumerate([*"=:\"'@/.-_+ ", "\n\t\r", "ae", "bcdf", "iou", "lnrst", "ghmpwy", "jkqvxz", "AE", "BCDF", "IOU", "LNRST", "GHMPWY", "JKQVXZ", "01234", "56789", "(){}[]<>", ",;!?|&%$#*"]) for c in group}
 N_CLASSES = 2 + max(_CLASSES.values())
+#: Class by code point; 0 stands for no character, and all beyond the table are the last class.
+_TABLE = np.full(256, N_CLASSES - 1, np.int64)
+_TABLE[[0, *map(ord, _CLASSES)]] = [0, *_CLASSES.values()]
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end), in order."""
+def base_spans(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, start of what is secret), in order."""
     out = []
     low = text.lower()
     if any(n in low for n in NAMES):
-        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        out += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
-        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(out)
 
 
@@ -61,26 +65,28 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def window(text: str, start: int, end: int) -> str:
-    """Context before, the candidate (its middle left out if long), context after; fixed length."""
-    body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-BODY // 2 :]
-    return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + body.ljust(BODY, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+    """Context before, BODY characters of a candidate at most, context after; fixed length. Zero characters fill it up."""
+    if end - start > BODY:
+        raise ValueError("a window holds BODY characters")
+    body = text[start:end].replace("\0", " ")
+    before, after = text[max(0, start - BEFORE) : start].replace("\0", " "), text[end : end + AFTER].replace("\0", " ")
+    return before.rjust(BEFORE, "\0") + body.ljust(BODY, "\0") + after.ljust(AFTER, "\0")
 
 
 def windows_of(text: str, start: int, end: int) -> list[str]:
-    """The windows of a candidate: one, or for a long one those of its ends, of each BODY characters and of each long part between separators."""
-    out = [window(text, start, end)]
+    """The windows of a candidate: one, or for a long one those of each BODY characters, half over the one before, and those of its parts between separators."""
+    spots = [(start, end)]
     if end - start > BODY:
-        spots = [(k, k + BODY) for k in range(start, end - BODY, BODY // 2)] + [(end - BODY, end)]
-        spots += [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
-        out += [window(text, s, e) for s, e in spots]
-    return out
+        parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
+        spots = []
+        for s, e in dict.fromkeys([(start, end), *parts]):
+            spots += [(k, k + BODY) for k in range(s, e - BODY, BODY // 2)] + [(max(s, e - BODY), e)]
+    return [window(text, s, e) for s, e in dict.fromkeys(spots)]
 
 
 def encode(windows: list[str]) -> np.ndarray:
-    other = N_CLASSES - 1
-    return np.array([[0 if c == "\0" else _CLASSES.get(c, other) for c in w] for w in windows], np.int64).reshape(-1, LENGTH)
+    points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, LENGTH)
+    return np.where(points < 256, _TABLE[np.minimum(points, 255)], N_CLASSES - 1)
 
 
 def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[str], np.ndarray]:
@@ -93,22 +99,47 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[str], np.ndar
     word = lambda lo=1, hi=4: "".join(pick(parts) for _ in range(int(rng.integers(lo, hi + 1))))
     prose = lambda k: " ".join(word() for _ in range(k))
     secrets = [
-        lambda: run(dig + "abcdef", 16, 64), lambda: run(dig + "ABCDEF", 20, 64), lambda: run(low + up + dig, 20, 44) + "7", lambda: run(low + up + dig + "+/", 24, 64) + "4=",
-        lambda: pick(["ghp_", "gho_", "pk_live_", "rk_test_", "glpat-", "npm_", "hf_"]) + run(low + up + dig, 20, 36), lambda: "xoxb-" + run(dig, 10, 12) + "-" + run(low + up + dig, 20, 26),
-        lambda: "eyJ" + run(low + up + dig, 20, 40) + "." + run(low + up + dig + "-_", 30, 60), lambda: pick(["AKIA", "ASIA"]) + run(up + dig, 14, 16), lambda: run(low + dig, 24, 40) + "0q", lambda: run(up + dig, 20, 32) + "2Z",
-        lambda: run(low, 16, 24), lambda: run(low + up, 20, 44), lambda: run(low + up, 16, 20), lambda: run(up, 20, 32),
-    ]
+        lambda: run(dig + "abcdef", 16, 64),
+        lambda: run(dig + "ABCDEF", 20, 64),
+        lambda: run(low + up + dig, 20, 44) + "7",
+        lambda: run(low + up + dig + "+/", 24, 64) + "4=",
+        lambda: pick(["ghp_", "gho_", "pk_live_", "rk_test_", "glpat-", "npm_", "hf_"]) + run(low + up + dig, 20, 36),
+        lambda: "xoxb-" + run(dig, 10, 12) + "-" + run(low + up + dig, 20, 26),
+        lambda: "eyJ" + run(low + up + dig, 20, 40) + "." + run(low + up + dig + "-_", 30, 60),
+        lambda: pick(["AKIA", "ASIA"]) + run(up + dig, 14, 16),
+        lambda: run(low + dig, 24, 40) + "0q",
+        lambda: run(up + dig, 20, 32) + "2Z",
+        lambda: run(low, 16, 24),
+        lambda: run(low + up, 20, 44),
+        lambda: run(low + up, 16, 20),
+        lambda: run(up, 20, 32),
+    ]
     plain = [
-        lambda: word(2, 3) + "." + word(2, 3) + run(dig, 1, 4), lambda: run(dig, 16, 19), lambda: "-".join((run(dig, 4, 4), run(dig, 2, 2), run(dig, 2, 2))) + "T" + run(dig, 2, 2) + run(dig, 4, 4),
-        lambda: "/".join([word(2, 4), word(2, 4), word(1, 3) + run(dig, 1, 3)]) + pick([".html", ".py", ".png", ""]), lambda: "_".join(word(1, 3) for _ in range(4)) + run(dig, 1, 2), lambda: word(7, 10) + run(dig, 1, 2),
-        lambda: "".join(word(1, 2).title() for _ in range(5)) + run(dig, 1, 2), lambda: ".".join(run(dig, 1, 4) for _ in range(6)), lambda: "-".join(word(1, 3) for _ in range(4)) + "-" + run(dig, 2, 5), lambda: pick("=-_.") * 18 + run(dig, 1, 1),
-        lambda: word(1, 2) * 6 + run(dig, 1, 2), lambda: "mail" + run(dig, 1, 3) + "." + word(3, 4) + ".example", lambda: run(dig, 3, 4) + "-" + run(dig, 3, 4) + "-" + run(dig, 4, 6) + "-" + run(dig, 4, 4),
-        lambda: word(7, 11), lambda: word(7, 10).title() + ".", lambda: word(7, 10).upper(), lambda: "/".join(word(2, 4) for _ in range(5)), lambda: "-".join(word(2, 4) for _ in range(3)), lambda: "".join(word(2, 3).title() for _ in range(3)),
-    ]
-    leads = [lambda: " ", lambda: "=", lambda: ": ", lambda: ' "', lambda: "'", lambda: "\n", lambda: pick(["key", "auth", "sig", "bearer", "client_id", "hash"]) + pick(["=", ": ", " = ", ' = "'])]
+        lambda: word(2, 3) + "." + word(2, 3) + run(dig, 1, 4),
+        lambda: run(dig, 16, 19),
+        lambda: "-".join((run(dig, 4, 4), run(dig, 2, 2), run(dig, 2, 2))) + "T" + run(dig, 2, 2) + run(dig, 4, 4),
+        lambda: "/".join([word(2, 4), word(2, 4), word(1, 3) + run(dig, 1, 3)]) + pick([".html", ".py", ".png", ""]),
+        lambda: "_".join(word(1, 3) for _ in range(4)) + run(dig, 1, 2),
+        lambda: word(7, 10) + run(dig, 1, 2),
+        lambda: "".join(word(1, 2).title() for _ in range(5)) + run(dig, 1, 2),
+        lambda: ".".join(run(dig, 1, 4) for _ in range(6)),
+        lambda: "-".join(word(1, 3) for _ in range(4)) + "-" + run(dig, 2, 5),
+        lambda: pick("=-_.") * 18 + run(dig, 1, 1),
+        lambda: word(1, 2) * 6 + run(dig, 1, 2),
+        lambda: "mail" + run(dig, 1, 3) + "." + word(3, 4) + ".example",
+        lambda: run(dig, 3, 4) + "-" + run(dig, 3, 4) + "-" + run(dig, 4, 6) + "-" + run(dig, 4, 4),
+        lambda: word(7, 11),
+        lambda: word(7, 10).title() + ".",
+        lambda: word(7, 10).upper(),
+        lambda: "/".join(word(2, 4) for _ in range(5)),
+        lambda: "-".join(word(2, 4) for _ in range(3)),
+        lambda: "".join(word(2, 3).title() for _ in range(3)),
+    ]
+    plain_leads = [" ", "=", ": ", ' "', "'", "\n"]
+    leads = [lambda: pick(plain_leads)] * len(plain_leads) + [lambda: pick(["key", "auth", "sig", "bearer", "client_id", "hash"]) + pick(["=", ": ", " = ", ' = "'])]
     windows, y = [], np.arange(n) % 2
     for k in y:
-        body = pick(secrets)() if k else pick(plain)()
+        body = (pick(secrets)() if k else pick(plain)())[:BODY]
         while len(body) < 16:
             body += pick(parts) if not k else pick(low)
         mail = not k and rng.random() < 0.2
@@ -142,12 +173,13 @@ def _pool(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.n
 def trained(epochs: int = 10, seed: int = 3) -> dict[str, np.ndarray]:
     windows, y = labelled_findings()
     x, rng = encode(windows), np.random.default_rng(seed)
-    held = np.arange(len(y)) % 5 > 2
+    part = np.arange(len(y)) // 2 % 5  # as many secrets as look-alikes in each
+    held, last = part == 3, part == 4
     w, b = rng.normal(0, 0.3, (WIDTH * N_CLASSES, FILTERS)), np.zeros(FILTERS)
     v, c = rng.normal(0, 0.1, 3 * FILTERS), np.zeros(1)
     params = [w, b, v, c]
     m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    fit = np.flatnonzero(~held)
+    fit = np.flatnonzero(part < 3)
     for _ in range(epochs):
         order = rng.permutation(fit)
         for lo in range(0, len(order), 64):
@@ -173,8 +205,8 @@ def trained(epochs: int = 10, seed: int = 3) -> dict[str, np.ndarray]:
     for _ in range(200):  # logistic calibration
         p = 1 / (1 + np.exp(-(a * raw + o).clip(-30, 30)))
         a, o = a - 0.02 * np.mean((p - target) * raw), o - 0.2 * np.mean(p - target)
-    p = 1 / (1 + np.exp(-(a * raw + o).clip(-30, 30)))
-    secrets = np.sort(p[target == 1])
+    p = 1 / (1 + np.exp(-(a * (_pool(x[last], w, b)[0] @ v + c) + o).clip(-30, 30)))
+    secrets = np.sort(p[y[last] == 1])
     return {"w": w, "b": b, "v": v, "c": c, "a": np.array([a, o]), "threshold": secrets[[int((1 - RECALL) * len(secrets))]]}
 
 
@@ -187,7 +219,7 @@ def probability(windows: list[str], net: dict[str, np.ndarray], piece: int = 256
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id and findings: array of (kind, start, end, probability), by start and kind. Base findings have probability 1."""
+    """doc_id and findings: array of (kind, start, end, probability), by start and kind."""
     net = trained()
     sent = documents.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
@@ -196,20 +228,20 @@ def scan(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
-                found, asked, windows = [], [], []
+                asked, windows = [], []
                 for n, text in enumerate(part["text"]):
                     base = base_spans(text)
-                    found.append([(s, k, e, 1.0) for s, k, e in base])
-                    for s, e in candidates(text):
-                        if not any(s < be and bs < e for bs, _, be in base):
-                            own = windows_of(text, s, e)
-                            asked.append((n, s, e, len(windows), len(windows) + len(own)))
-                            windows += own
-                scores = probability(windows, net)
-                for n, s, e, lo_, hi_ in asked:
+                    spots = [(s, k, e, body) for s, k, e, body in base]
+                    spots += [(s, 3, e, s) for s, e in candidates(text) if not any(bs <= s and e <= be for bs, _, be, _ in base)]
+                    for s, k, e, body in spots:
+                        own = windows_of(text, body, e)
+                        asked.append((n, s, k, e, len(windows), len(windows) + len(own)))
+                        windows += own
+                scores, found = probability(windows, net), [[] for _ in range(len(part))]
+                for n, s, k, e, lo_, hi_ in asked:
                     p = float(scores[lo_:hi_].max())
-                    if p >= net["threshold"][0]:
-                        found[n].append((s, 3, e, p))
+                    if k < 3 or p >= net["threshold"][0]:
+                        found[n].append((s, k, e, p))
                 spans = [[{"kind": KINDS[k], "start": s, "end": e, "probability": p} for s, k, e, p in sorted(f)] for f in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "findings": spans})
 
