@@ -1,28 +1,42 @@
-"""What the training-data operators share: cut tables, word hashes, sums in order."""
+"""What the training-data operators share: cut tables, word hashes, what workers keep, sums in order."""
 
 from __future__ import annotations
 
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
+    """The folder that driver and executors share; one is made only in local mode where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder, now or when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        files.deleteOnExit(at)
+    else:
+        files.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: short lineage that outlives executors.
 
@@ -32,42 +46,71 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    remove(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fields(df: DataFrame, *more: str) -> T.StructType:
-    """A schema from DDL strings."""
-    return T.StructType.fromDDL(", ".join(more))
-
-
-_MARKS = (string.punctuation + "«»„“”‚‘’…–—¿¡·").encode().decode()
-
-
-class WordHashes(dict):
-    """Raw token -> 64-bit hash of its lower-case form without outer punctuation; 0: nothing left.
-
-    Kept for a whole Python worker and emptied when it reaches `most` entries, so its memory is bounded.
-    """
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        word = token.strip(_MARKS).lower()
-        self[token] = got = (xxhash.xxh3_64_intdigest(word) or 1) if word else 0
-        return got
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The hashes of the words of a whole text, in order."""
-        tokens = (text or "").split()
-        got = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
-        return got[got != 0]
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_KEPT: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: the cache of one operator at a time, so that reused workers do not gather several."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+_MARKS = string.punctuation + "«»„“”‚‘’…–—¿¡·"
+_RNG = np.random.default_rng(31)
+_BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_NEAR, _FAR = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n - 1, m, np.uint64)]) for n, m in ((1 << 12, np.uint64(0x9E3779B97F4A7C15)), (1 << 18, np.uint64(0xC2B2AE3D27D4EB4F))))
+
+
+def string_hashes(words: pa.Array, piece: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of strings without nulls: a polynomial over the bytes of about `piece` bytes of them at once, so there is no work in Python for each."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    there = np.flatnonzero(ends[1:] > ends[:-1])
+    starts, stops = ends[there], ends[there + 1]
+    out = np.zeros(len(words), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(stops, starts[lo] + piece, side="right")))
+        at, n = starts[lo:hi] - starts[lo], stops[lo:hi] - starts[lo:hi]
+        place = np.arange(int(n.sum())) - np.repeat(at, n)
+        term = _BYTE[raw[starts[lo] : stops[hi - 1]]] * _NEAR[place & 4095]
+        if n.max() > 4096:
+            term *= _FAR[(place >> 12) % len(_FAR)]
+        h = np.add.reduceat(term, at) + n.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[there[lo:hi]] = h ^ (h >> np.uint64(32))
+        lo = hi
+    return out
+
+
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """64-bit hashes of the words of each whole text, in order: lower-case forms without outer punctuation; what has nothing left is no word."""
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    words = pc.utf8_trim(parts.flatten(), characters=_MARKS)
+    lists = parts.offsets.to_numpy().astype(np.int64)
+    there = np.asarray(pc.binary_length(words)) > 0
+    out = string_hashes(words)[there]
+    upto = np.concatenate([[0], np.cumsum(there)])[lists - lists[:1]]
+    return [out[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
 
 def running_start(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, cell: Column, cells: str = "_cell") -> DataFrame:

@@ -1,25 +1,28 @@
 """Near-duplicate groups by Order MinHash, verified by banded alignment.
 
-Words are lower-cased and stripped of outer punctuation. A text's k-mers are its runs of three words, each labelled with
-its occurrence number. Each of SKETCHES hash orders picks the WIDTH k-mers with the smallest labelled hashes and
+Words are lower-cased and stripped of outer punctuation. A text's k-mers are its runs of five words, each labelled with
+its occurrence number. Each of SKETCHES hash orders picks the two k-mers with the smallest labelled hashes and
 keeps them in text order; their hash is one value of the sketch, so two texts share it if they share the same k-mers in
 the same order. Candidates share a value. They are linked if the edit similarity of their words,
 1 - distance / longer length, is SIMILARITY or more, found by bit-parallel alignment in a band that is doubled until
 the distance fits or exceeds what the similarity admits. Groups are the connected components of links.
 
-Reach: of texts of 200 words with random substitutions, pairs that share one of the 32 values: all 150 of 150 at edit similarities of 0.95, 0.9
-and 0.85, 148 of 150 at 0.8. Texts that edits have left without common k-mers are not found, even where their edit similarity is high (short texts).
+Reach: README.md has the measured share of pairs that share a value, by edit similarity. Texts that edits have left
+without common k-mers are not found, even where their edit similarity is high (short texts).
 
-Skew: equal texts are one representative from the start (a partial aggregate). A bucket (a sketch value) is not paired
-out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets' leaders. Of
-the buckets that still hold several groups, those of SMALL texts or fewer are paired out. The texts of larger ones (a passage that many
-texts share) meet by prefixes of their rarest word pairs and classes of length, an exact filter: no two of them that are similar are left out,
-whether they share a bucket or not, and there is no limit on rounds or candidates. So a pair of different groups that shares a value
-is always met, if it can be similar. Links between texts of one group are not searched for.
+Skew: equal texts are one representative from the start (a partial aggregate). A bucket (the texts with one value) is not
+paired out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets'
+leaders. The buckets that hold several groups even then (a passage that many texts share) are dealt to blocks of about BLOCK texts,
+and each two blocks meet in one task, but for those of the bucket's largest group among themselves. There a pair is left out if its lengths or
+its maps of words (a bit for each word) prove that it is not similar, and it is handed on in the first bucket that it shares; so no pairs are
+written but those to be aligned. No two texts that share a value and are similar end in different groups, whatever the
+size of the bucket; there is no limit on rounds, candidates or partners. Pairs within a group are not searched for.
+A bucket of m groups costs m * m / 2 comparisons of bits and m / BLOCK copies of its rows.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
-of fewer than three words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
-of the result; a doc_id with several texts is represented once per text; the group's id is its least doc_id; other columns are not read.
+of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
+of the result each; a doc_id with several texts is represented once per text; the group's id is its least doc_id; an empty table gives
+no rows; other columns are not read by the operator, and the stage passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, cut
+from millrace.llm.common import cut, free_name, word_hashes
 
-K, SKETCHES, WIDTH, SIMILARITY = 3, 32, 2, 0.8
-#: Buckets of so many texts that hold several groups are paired out.
-SMALL = 32
-#: How many rare word pairs two texts of large buckets have in common, to be aligned.
-SHARED = 32
+K, SKETCHES, SIMILARITY = 5, 64, 0.8
+#: Texts of a bucket that meet in one task.
+BLOCK = 2048
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
+_POS, _MAX = np.uint64((1 << 20) - 1), np.uint64((1 << 64) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,17 +52,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
-    """Hashes of the runs of k words; the whole text if it is shorter."""
-    k = min(k, len(words))
-    out = np.zeros(len(words) - k + 1, np.uint64) if k else np.empty(0, np.uint64)
+def kmers(texts: list[np.ndarray], k: int = K) -> list[np.ndarray]:
+    """Hashes of each text's runs of k words; of the whole text if it is shorter. Texts have one word or more."""
+    flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    runs = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for j in range(k):
-        out = _mix(out + words[j : len(words) - k + 1 + j])
+        runs = _mix(runs + flat[j : j + len(runs)])
+    out, at = [], 0
+    for w in texts:
+        if len(w) >= k:
+            out.append(runs[at : at + len(w) - k + 1])
+        else:
+            one = np.zeros(1, np.uint64)
+            for j in range(len(w)):
+                one = _mix(one + w[j : j + 1])
+            out.append(one)
+        at += len(w)
     return out
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
-    """k-mer hashes mixed with their occurrence numbers."""
+    """Hashes mixed with their occurrence numbers: equal ones get different values."""
     order = np.argsort(grams, kind="stable")
     s = grams[order]
     starts = np.r_[True, s[1:] != s[:-1]]
@@ -72,27 +84,51 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, _mix(grams + nth * np.uint64(0x9E3779B97F4A7C15)), grams)
 
 
-def sketch(words: np.ndarray, piece: int = 1 << 14) -> np.ndarray:
-    """SKETCHES values; none for a text without words."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    grams = kmers(words)
-    marked = labelled(grams)
-    w, rows = min(WIDTH, len(marked)), np.arange(SKETCHES)[:, None]
-    best_h, best_p = np.empty((SKETCHES, 0), np.uint64), np.empty((SKETCHES, 0), np.int64)
-    for lo in range(0, len(marked), piece):  # long texts piece by piece
-        h = marked[None, lo : lo + piece] * _MUL[:, None] + _ADD[:, None]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.argpartition(h, min(w, h.shape[1]) - 1, axis=1)[:, :w] if h.shape[1] > w else np.tile(np.arange(h.shape[1]), (SKETCHES, 1))
-        best_h, best_p = np.concatenate([best_h, h[rows, at]], 1), np.concatenate([best_p, at + lo], 1)
-        if best_h.shape[1] > w:
-            keep = np.argpartition(best_h, w - 1, axis=1)[:, :w]
-            best_h, best_p = best_h[rows, keep], best_p[rows, keep]
-    chosen = grams[np.sort(best_p, axis=1)]  # in text order, without labels
-    out = np.zeros(SKETCHES, np.uint64)
-    for j in range(chosen.shape[1]):
-        out = _mix(out + chosen[:, j])
+def _two_least(marked: np.ndarray, starts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash order and each text (from `starts` on) the two least  hash << 20 | place in the text;  the second is _MAX if there is one k-mer."""
+    h = marked[None, :] * _MUL[:, None]
+    h += _ADD[:, None]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h &= ~_POS
+    h |= np.arange(len(marked), dtype=np.uint64) - base
+    one = np.minimum.reduceat(h, starts, axis=1)
+    at = (one & _POS).astype(np.int64) + starts
+    np.put_along_axis(h, at, _MAX, axis=1)
+    return one, np.minimum.reduceat(h, starts, axis=1)
+
+
+def sketches(texts: list[np.ndarray], piece: int = 8192) -> np.ndarray:
+    """One row of SKETCHES values for each text of one word or more; several texts are hashed at a time, a long one piece by piece."""
+    out = np.empty((len(texts), SKETCHES), np.uint64)
+    grams = kmers(texts)
+    at = 0
+    while at < len(texts):
+        end, total = at + 1, len(grams[at])
+        while end < len(texts) and total + len(grams[end]) <= piece:
+            total += len(grams[end])
+            end += 1
+        group = grams[at:end]
+        flat = np.concatenate(group)
+        if total <= piece:
+            n = np.array([len(g) for g in group])
+            starts = np.cumsum(n) - n
+            one, two = _two_least(np.concatenate([labelled(g) for g in group]), starts, np.repeat(starts, n).astype(np.uint64))
+            first, second = (one & _POS).astype(np.int64) + starts, np.where(two == _MAX, -1, (two & _POS).astype(np.int64) + starts)
+        else:
+            marked = labelled(flat)
+            found, places = [], []
+            for lo in range(0, total, piece):
+                for got in _two_least(marked[lo : lo + piece], np.zeros(1, np.int64), np.zeros(1, np.uint64)):
+                    found.append(np.where(got == _MAX, _MAX, got & ~_POS))
+                    places.append(np.where(got == _MAX, -1, lo + (got & _POS).astype(np.int64)))
+            found, places = np.concatenate(found, 1), np.concatenate(places, 1)
+            order = np.argsort(found, axis=1, kind="stable")[:, :2]
+            first, second = (np.take_along_axis(places, order[:, k : k + 1], 1) for k in (0, 1))
+        low, high = np.where(second < 0, first, np.minimum(first, second)), np.maximum(first, second)
+        value = _mix(_ADD[:, None] + flat[low])  # k-mers in text order, without labels
+        out[at:end] = np.where(second < 0, value, _mix(value + flat[high])).T
+        at = end
     return out
 
 
@@ -157,52 +193,79 @@ def _in_band(n: int, b: list[int], places: dict[int, int], band: int) -> int:
     return score
 
 
+def shared_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two texts have in common, repeats counted; of labelled words."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity of two word sequences is `least` or more."""
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
     if n == 0 or abs(len(a) - len(b)) > most:
         return False
-    # words that have no partner cost one edit each at least
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    alone = n - int(np.minimum(ca[ia], cb[ib]).sum())
+    alone = n - shared_words(labelled(a), labelled(b))  # words that have no partner cost one edit each at least
     return alone <= most and banded_distance(a.tolist(), b.tolist(), most, alone) <= most
 
 
+def digest(text: Column) -> Column:
+    """128 bits of a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def sketched(documents: DataFrame) -> DataFrame:
-    """_id, digest of the text, words, values (one per hash order)."""
+    """_id, digest of the text, n (words), values (one per hash order; none without words)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, 256) for lo in range(0, len(batch), 256)):
+                found = word_hashes(part["text"])
+                n = np.array([len(w) for w in found])
+                values = sketches([w for w in found if len(w)])
+                ends = np.concatenate([[0], np.cumsum(n > 0)]) * SKETCHES
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part["_id"], part["digest"], pa.array(n, pa.int32()), lists], names=["_id", "digest", "n", "values"])
+
+    src = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), digest(F.col("text")).alias("digest"))
+    return src.mapInArrow(run, "_id long, digest binary, n int, values array<bigint>")
+
+
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """A bit for each word, in a map of four bits a word or more; maps of texts with less words are what is left when halves are laid over each other."""
+    size = 1 << max(9, int(4 * len(words) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[(labelled(words) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def word_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, n, words (their 32-bit hashes), bits, of the representatives (rep, digest). One text of each digest is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
-                rows = []
-                for i, t in zip(part["_id"], part["text"], strict=True):
-                    words = hashes.of(t)
-                    rows.append((i, xxhash.xxh3_128_digest(t), len(words), sketch(words).astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["_id", "digest", "words", "values"]).astype({"_id": "Int64"})
+            for part in (batch.slice(lo, 256) for lo in range(0, len(batch), 256)):
+                words = [w >> np.uint64(32) for w in word_hashes(part["text"])]
+                made = [pa.array([w.astype("<u4").tobytes() for w in words], pa.binary()), pa.array([word_bits(w).tobytes() for w in words], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part["rep"], pa.array([len(w) for w in words], pa.int32()), *made], names=["rep", "n", "words", "bits"])
 
-    src = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInPandas(run, "_id long, digest binary, words int, values array<bigint>")
+    texts = documents.select(digest(F.col("text")).alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
+    return texts.join(reps, "digest").select("rep", "text").mapInArrow(run, "rep long, n int, words binary, bits binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of representatives whose texts are similar. texts: rep, text."""
-    need = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
-    own = texts.join(need, "rep").dropDuplicates(["rep"])
-    left = own.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
-    right = own.select(F.col("rep").alias("v"), F.col("text").alias("text_v"))
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (u, v) of representatives whose texts are similar. words: rep, words."""
+    u = words.select(F.col("rep").alias("u"), F.col("words").alias("words_u"))
+    v = words.select(F.col("rep").alias("v"), F.col("words").alias("words_v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        of = lambda x: np.frombuffer(x, "<u4").astype(np.uint64)
         for batch in batches:
-            ok = [similar(hashes.of(a), hashes.of(b)) for a, b in zip(batch["text_u"], batch["text_v"], strict=True)]
+            ok = [similar(of(a), of(b)) for a, b in zip(batch["words_u"], batch["words_v"], strict=True)]
             yield batch.loc[ok, ["u", "v"]]
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInPandas(run, "u binary, v binary")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "words_u", "words_v").mapInPandas(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,117 +297,132 @@ def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
     return labels.join(m, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
 
 
-def _lengths_admit(a: str, b: str) -> Column:
-    """Whether texts of so many words can be similar."""
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
-
+def _may_be_similar(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of some texts, which come by n, the later ones that lengths and word maps admit.
 
-def rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """u, v: all pairs of texts (rep, text) of different groups that can be similar, by prefixes of their rarest word pairs.
-
-    An edit ends two word pairs at most, so of two similar texts of which one has m words, at least 0.6 m - 1 word pairs are common
-    to both. With each text's pairs in one order, rare ones first, the first SHARED common ones lie in the first (number of pairs) - (0.6 m - 1)
-    + SHARED of both: texts that have fewer in common there cannot be similar.
+    A word of one text whose bit the other's map lacks has no partner, and a text of n words, the longer one, has at most (1 - SIMILARITY) n of these.
     """
+    sizes = np.array([len(x) for x in bits])
+    maps: dict[tuple[int, int], np.ndarray] = {}
+
+    def laid(size: int, to: int) -> np.ndarray:
+        """The maps of one size, laid over to a smaller one."""
+        if (size, to) not in maps:
+            x = np.frombuffer(b"".join(bits[k] for k in np.flatnonzero(sizes == size)), np.uint64).reshape(-1, size // to, to // 8)
+            maps[size, to] = np.bitwise_or.reduce(x, axis=1)
+        return maps[size, to]
+
+    place = np.zeros(len(n), np.int64)  # among the maps of its size
+    for size in set(sizes.tolist()):
+        place[sizes == size] = np.arange((sizes == size).sum())
+    last = np.searchsorted(n, n / SIMILARITY + 1e-6, side="right")
+    for i in range(len(n)):
+        x = laid(int(sizes[i]), int(sizes[i]))[place[i]]
+        found = []
+        at = i + 1
+        while at < last[i]:  # sizes come in order too
+            size = int(sizes[at])
+            end = min(int(last[i]), int(np.searchsorted(sizes, size, side="right")))
+            y = laid(size, len(x) * 8)[place[at] : place[at] + end - at]
+            most = (n[at:end] * (1 - SIMILARITY) + 1e-6).astype(np.int64)  # y is the longer one
+            alone = np.bitwise_count(x & ~y).sum(1, dtype=np.int64) + n[at:end] - n[i]
+            found.append(at + np.flatnonzero((alone <= most) & (np.bitwise_count(y & ~x).sum(1, dtype=np.int64) <= most)))
+            at = end
+        yield i, np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def block_pairs(members: DataFrame, labels: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
+    """u, v: the pairs of different groups that share a bucket (value, rep) and may be similar, each once. labels: node, label. words: rep, n, bits."""
+    own = members.groupBy("rep").agg(F.sort_array(F.collect_list("value")).alias("values"))  # SKETCHES at most
+    info = own.join(labels.withColumnRenamed("node", "rep"), "rep").join(words.select("rep", "n", "bits"), "rep")
+    lean = members.join(labels.withColumnRenamed("node", "rep"), "rep")
+    most = lean.groupBy("value", "label").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "label")).alias("m"))
+    lean = lean.join(most.select("value", F.col("m.label").alias("major")), "value").select("value", "rep", (F.col("label") == F.col("major")).alias("main"))
+    sizes = lean.groupBy("value").agg(F.ceil(F.sum(F.col("main").cast("int")) / block).alias("a"), F.ceil(F.sum((~F.col("main")).cast("int")) / block).alias("b"))
+    lean = cut(lean.join(sizes, "value"))
+    # blocks 0 .. a - 1 are of the largest group, a .. a + b - 1 of the others; two of the former need not meet
+    mine = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("rep"), F.greatest("b", F.lit(1).cast("long"))))
+    lean = lean.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("a")).otherwise(F.lit(0).cast("long")), F.col("a") + F.col("b") - 1)))
+    lean = lean.select("value", "rep", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("upper"))
+    # a bucket of one block for each side is one group
+    dealt = lean.join(info, "rep").repartition("value", "low", "high").sortWithinPartitions("value", "low", "high", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        left = None
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo : lo + 64]
-                found = [hashes.of(t) for t in part["text"]]
-                grams = [labelled(kmers(w, 2)).astype(np.int64) for w in found]
-                n = [len(g) for g in grams]
-                yield pd.DataFrame({"rep": np.repeat(np.array(part["rep"], object), n), "words": np.repeat([len(w) for w in found], n), "gram": np.concatenate(grams)})
-
-    grams = cut(texts.mapInPandas(run, "rep binary, words int, gram bigint"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    alike = F.greatest(F.ceil(3 * F.col("words") / 5 - 1 - 1e-6), F.lit(1))
-    ranked = grams.join(often, "gram").groupBy("rep", "words").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("all"))
-    ranked = ranked.withColumn("shared", F.least(alike, F.lit(SHARED)).cast("int")).withColumn("first", (F.size("all") - alike).cast("int") + F.col("shared"))
-    ranked = ranked.join(labels.withColumnRenamed("node", "rep"), "rep")
-    # two classes of length for a text: the longest of a class has 1 / SIMILARITY times the words of its shortest
-    own = F.floor(F.log("words") / float(-np.log(SIMILARITY)) + 1e-9)
-    at = ranked.select("rep", "words", "shared", "label", own.alias("own"), F.explode(F.slice("all", 1, F.col("first"))).alias("g")).filter("g.often > 1")
-    at = cut(at.select("rep", "words", "shared", "label", "own", F.col("g.gram").alias("gram")))
-    a = at.select("gram", F.col("own").alias("cell"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "words", "shared", "label")])
-    # the other is of the same class or the next, so each pair meets once a common word pair
-    b = at.select("gram", F.explode(F.array("own", F.col("own") - 1)).alias("cell"), "own", *[F.col(c).alias(f"{c}_b") for c in ("rep", "words", "shared", "label")])
-    met = a.join(b, ["gram", "cell"]).filter("label_a <> label_b AND (own > cell OR rep_a < rep_b)").filter(_lengths_admit("words_a", "words_b"))
-    need = F.min(F.least("shared_a", "shared_b")).alias("need")
-    return met.groupBy(F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v")).agg(need, F.count("*").alias("n")).filter("n >= need").select("u", "v")
+            batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            keys = batch[["value", "low", "high"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                yield pairs(batch.iloc[lo:hi])
+            left = batch.iloc[starts[-1] :]
+        if left is not None and len(left):
+            yield pairs(left)
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        if len(part) > 1:
+            value, crossed = int(part["value"].iloc[0]), int(part["low"].iloc[0]) != int(part["high"].iloc[0])
+            rep, label, upper, own = part["rep"].to_numpy(), part["label"].to_numpy(), part["upper"].to_numpy(), part["values"].to_numpy()
+            if (label != label[0]).any():
+                for i, js in _may_be_similar(part["n"].to_numpy(np.int64), part["bits"].tolist()):
+                    js = js[label[js] != label[i]]
+                    if crossed:
+                        js = js[upper[js] != upper[i]]
+                    for j in js.tolist():
+                        if int(np.intersect1d(own[i], own[j], assume_unique=True)[0]) == value:
+                            us.append(max(rep[i], rep[j]))
+                            vs.append(min(rep[i], rep[j]))
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+
+    return dealt.mapInPandas(run, "u long, v long")
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
-    """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), digest, n_links of its text, label (one per group, also where ids are null)."""
+    """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), digest, label (one per group, also where ids are null)."""
     drawn = cut(sketched(documents))
-    reps = drawn.groupBy("digest").agg(F.min("_id").alias("_least"), F.first("values").alias("values"), F.first("words").alias("words"))
-    reps = cut(reps)
-    spread = reps.filter("words > 0").select(F.col("digest").alias("rep"), "words", F.posexplode("values").alias("order", "value"))
+    reps = drawn.groupBy("digest").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # kept by the written table
+    spread = reps.filter("n > 0").select("rep", F.explode("values").alias("value"))
     # the least representative leads its bucket
-    lead = spread.groupBy("order", "value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_max")).filter("leader <> _max").drop("_max")
-    members = cut(spread.join(lead, ["order", "value"]))
-    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"rep": [xxhash.xxh3_128_digest(t) for t in batch["text"]], "text": batch["text"]})
-
+    lead = spread.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_max")).filter("leader <> _max").drop("_max")
+    members = cut(spread.join(lead, "value"))
     wanted = members.select("rep").distinct()
-    firsts = reps.select(F.col("digest").alias("rep"), F.col("_least")).join(wanted, "rep")
-    one = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = one.join(firsts.select("_least").distinct(), one["_id"].eqNullSafe(F.col("_least"))).select("text").mapInPandas(digest, "rep binary, text string")
-    texts = cut(texts.join(wanted, "rep").dropDuplicates(["rep"]))
+    words = cut(word_table(documents, reps.join(wanted, "rep").select("rep", "digest")))
 
     star = members.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    tried = cut(star.groupBy("u").agg(F.min("v").alias("v")))
-    links = cut(verified(tried, texts))
+    tried = star.groupBy("u").agg(F.min("v").alias("v"))
     nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    labels = cut(relabelled(nodes, components(links)))
-
-    def held(at: DataFrame) -> DataFrame:
-        """The members of buckets that hold several groups, with their groups and the number of members."""
-        now = at.join(labels.withColumnRenamed("node", "rep"), "rep")
-        mixed = now.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n"))
-        return now.join(mixed.filter("_a <> _b").drop("_a", "_b"), "key")
-
-    def meet(pairs: DataFrame) -> None:
-        """Verifies pairs that are new and joins groups."""
-        nonlocal tried, links, labels
-        fresh = cut(pairs.join(tried, ["u", "v"], "left_anti").distinct())
-        if fresh.isEmpty():
-            return
-        found = cut(verified(fresh, texts))
-        links, tried = links.unionByName(found), tried.unionByName(fresh)
+    labels = cut(relabelled(nodes, components(cut(verified(tried, words)))))
+
+    def grouped(pairs: DataFrame) -> DataFrame:
+        """The pairs of different groups, with their groups lu, lv."""
         a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        if found.isEmpty():
-            return
-        labels = cut(relabelled(labels, components(found.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
-
-    # the other leaders first: they join most groups
-    a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-    meet(star.distinct().join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v"))
-    # all pairs of small buckets; the texts of large ones by their rare word pairs
-    now = cut(held(members.select(F.xxhash64("order", "value").alias("key"), "rep", "words")))
-    few = now.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("words", "rep", "label")).alias("all"))
-    x = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-    pairs = x.filter((F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))).filter(_lengths_admit("x.words", "y.words"))
-    meet(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")))
-    large = held(now.filter(f"n > {SMALL}").select("key", "rep", "words")).select("rep").distinct()
-    meet(rare_pairs(texts.join(large, "rep"), labels))
-    names = labels.select(F.col("node").alias("digest"), "label")
-    degree = links.distinct().select(F.col("u").alias("digest")).union(links.select("v")).groupBy("digest").agg(F.count("*").alias("n_links"))
-    named = reps.select("digest", "_least").join(names, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    ids = named.groupBy("label").agg(F.min("_least").alias("group_id"))
-    named = cut(named.join(ids, "label").join(degree, "digest", "left").select("digest", "label", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    blank = F.unhex(F.lit(xxhash.xxh3_128_hexdigest("")))
+        return pairs.join(a, "u").join(b, "v").filter("lu <> lv")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The groups after the pairs are verified."""
+        found = grouped(verified(pairs, words)).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        return cut(relabelled(labels, components(found)))
+
+    # the other leaders, which join most groups
+    labels = joined(grouped(star.distinct()).select("u", "v"))
+    # what buckets of several groups still hold
+    now = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
+    mixed = now.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
+    rest = cut(members.join(mixed, "value").select("value", "rep"))
+    labels = joined(cut(block_pairs(rest, labels, words)))
+    named = reps.select("digest", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    ids = named.groupBy("label").agg(F.min("least").alias("group_id"))
+    named = cut(named.join(ids, "label").select("digest", "label", "group_id"))
+    blank = digest(F.lit(""))
     rows = drawn.select("_id", "digest").join(named, "digest")
-    return rows.select(F.col("_id").alias("doc_id"), F.when(F.col("digest") == blank, F.col("_id")).otherwise(F.col("group_id")).alias("group_id"), "digest", "n_links", "label")
+    return rows.select(F.col("_id").alias("doc_id"), F.when(F.col("digest") == blank, F.col("_id")).otherwise(F.col("group_id")).alias("group_id"), "digest", "label")
 
 
 def grouped_documents(documents: DataFrame) -> DataFrame:
-    """The rows that op1 returns: every row's group, and the links found at its text."""
-    return near_groups(documents.select("doc_id", "text")).select("doc_id", "group_id", "n_links")
+    """The rows that op1 returns: every row's group."""
+    return near_groups(documents.select("doc_id", "text")).select("doc_id", "group_id")
 
 
 def near_stage(documents: DataFrame) -> DataFrame:
@@ -352,16 +430,12 @@ def near_stage(documents: DataFrame) -> DataFrame:
 
     Documents are told apart by doc_id and text: a null doc_id, or one with several texts, is one document per text.
     """
-
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: xxhash.xxh3_128_digest(t))
-
-    groups = near_groups(documents)
+    groups = near_groups(documents.select("doc_id", "text"))
     # empty texts are groups of their own
-    own = F.when(F.col("digest") == F.unhex(F.lit(xxhash.xxh3_128_hexdigest(""))), F.col("doc_id"))
+    own = F.when(F.col("digest") == digest(F.lit("")), F.col("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
-    keep = groups.groupBy("label", own.alias("own")).agg(least).select(F.col("k.doc_id").alias("_k"), F.col("k.digest").alias("_d"))
-    told = documents.withColumn("_digest", digest(F.coalesce("text", F.lit(""))))
-    kept = told.join(keep, told["doc_id"].eqNullSafe(F.col("_k")) & (told["_digest"] == F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    keep = groups.groupBy("label", own.alias("own")).agg(least).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.digest").alias("_kept_digest"))
+    mark = free_name(documents, "_digest")
+    told = documents.withColumn(mark, digest(F.col("text")))
+    kept = told.join(keep, told["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]) & (told[mark] == keep["_kept_digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
