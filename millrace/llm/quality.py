@@ -6,12 +6,15 @@ of its neighbours over the training texts. A word's vector is both together. A d
 spreads of its word vectors and the mean agreement of neighbours.
 
 Training takes at most TRAIN_ROWS labelled documents, those with the smallest hash of their id (the documented bound
-on fitting; ids choose rows only), in one task; what leaves it is a model of fixed size, which scoring tasks get. Every
-document is scored over its whole text, without a shuffle.
+on fitting; ids choose rows only). They are written as a table of their own, of which a few tasks make the context table
+(whole numbers, so the sum is the same in any order) and then the pooled features, both batch by batch; the network is fitted on
+the features alone. The model has a fixed size, and scoring tasks get it. Every document is scored over its whole text, without a shuffle;
+only texts go to Python and only scores come back.
 
 Defined cases: null and wordless texts score as the average document; without labels, or with labels of one kind, all
-scores are the share of label 1 (0.5 without any); a label that is null is none; if a document has several, the least counts;
-columns besides doc_id, text and quality are not read; repeated rows are scored each.
+scores are the share of label 1 (0.5 without any); a label that is null is none; if a document has several, the least counts, and of several texts
+the least; columns besides doc_id, text and quality are not read, and the stage passes them through whatever their names;
+repeated rows are scored each; an empty table gives no rows; texts of any length are pooled piece by piece.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import cut, free_name, string_hashes
+
 TRAIN_ROWS = 12_000
+#: Tasks that read the training rows.
+FIT_TASKS = 8
 DIM, ROWS, NONZERO, HIDDEN = 48, 1 << 14, 4, 32
 FEATURES = 2 * DIM + 2
-#: Words that a scoring worker keeps the vectors of.
-KEPT = 200_000
 
 
 def _ternary(n: int, seed: int) -> np.ndarray:
@@ -40,40 +45,35 @@ def _ternary(n: int, seed: int) -> np.ndarray:
     return out
 
 
-_INDEX = {"word": 0.5 * _ternary(4096, 1), "head": _ternary(4096, 2), "tail": _ternary(4096, 3), "shape": 2 * _ternary(64, 4)}
-
-
-class Words:
-    """Rows of every word met: hashed table row, and index vector. Emptied when it is full."""
+#: Whole numbers: sums of index vectors are exact in any order.
+_INDEX = {"word": _ternary(4096, 1), "head": 2 * _ternary(4096, 2), "tail": 2 * _ternary(4096, 3), "shape": 4 * _ternary(64, 4)}
+_UNIT = 2.0
 
-    def __init__(self, context: np.ndarray | None = None, most: int = KEPT):
-        self.context, self.most = context, most
-        self.clear()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.empty(0, np.int64)
-        self.vectors = np.empty((0, DIM), np.float32)
+def word_rows(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's words as places in the batch's list of different words, and of those the rows in the context table and the index vectors."""
+    parts = pc.utf8_split_whitespace(texts)
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary
+    there = np.asarray(pc.utf8_length(words)) > 0
+    h = string_hashes(words)
+    shape = np.zeros(len(words), np.int64)
+    for bit, test in enumerate((pc.utf8_is_upper, pc.utf8_is_lower, pc.utf8_is_title, pc.utf8_is_alpha)):
+        shape |= np.asarray(test(words)).astype(np.int64) << bit
+    shape |= np.asarray(pc.match_substring_regex(words, "[0-9]")).astype(np.int64) << 4
+    shape |= (np.asarray(pc.utf8_length(words)) > 7).astype(np.int64) << 5
+    head, tail = string_hashes(pc.utf8_slice_codeunits(words, 0, 2)), string_hashes(pc.utf8_slice_codeunits(words, -2, None))
+    index = _INDEX["word"][(h >> np.uint64(20)) % np.uint64(4096)] + _INDEX["head"][head % np.uint64(4096)] + _INDEX["tail"][tail % np.uint64(4096)] + _INDEX["shape"][shape]
+    at, ends = np.asarray(coded.indices), parts.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    found = [at[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+    return [w[there[w]] for w in found], (h % np.uint64(ROWS)).astype(np.int64), index
 
-    def learn(self, words: list[str]) -> None:
-        h = np.array([(xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest("<" + w[:2]), xxhash.xxh3_64_intdigest(w[-2:] + ">"), w.isupper() | w.islower() << 1 | w.istitle() << 2 | w.isalpha() << 3 | any(c.isdigit() for c in w) << 4 | (len(w) > 7) << 5) for w in words], np.uint64).reshape(-1, 4)
-        rows = (h[:, 0] % ROWS).astype(np.int64)
-        vectors = _INDEX["word"][(h[:, 0] >> np.uint64(20)) % 4096] + _INDEX["head"][h[:, 1] % 4096] + _INDEX["tail"][h[:, 2] % 4096] + _INDEX["shape"][h[:, 3]]
-        if self.context is not None:
-            vectors = vectors + self.context[rows]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.rows, self.vectors = np.concatenate([self.rows, rows]), np.concatenate([self.vectors, vectors.astype(np.float32)])
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Positions of each text's words; valid until the next call."""
-        tokens = [t.split() for t in texts]
-        new = {w for ws in tokens for w in ws if w not in self.at}
-        if len(self.at) + len(new) > self.most:
-            self.clear()
-            new = {w for ws in tokens for w in ws}
-        if new:
-            self.learn(sorted(new))
-        return [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in tokens]
+def slices(texts: pa.Array, rows: int = 128) -> Iterator[pa.Array]:
+    """Parts of a batch: bounded rows, nulls empty."""
+    for lo in range(0, len(texts), rows):
+        yield pc.fill_null(texts.slice(lo, rows), "")
 
 
 def pooled(at: np.ndarray, vectors: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
@@ -96,29 +96,35 @@ def pooled(at: np.ndarray, vectors: np.ndarray, piece: int = 1 << 15) -> np.ndar
     return out
 
 
-def features(texts: list[str], words: Words, group: int = 128) -> np.ndarray:
-    out = np.zeros((len(texts), FEATURES), np.float32)
-    for lo in range(0, len(texts), group):
-        for k, at in enumerate(words.of(texts[lo : lo + group])):
-            out[lo + k] = pooled(at, words.vectors)
-    return out
+def features(texts: pa.Array, context: np.ndarray) -> np.ndarray:
+    out = []
+    for part in slices(texts):
+        found, rows, index = word_rows(part)
+        vectors = index / np.float32(_UNIT) + context[rows]
+        out += [pooled(at, vectors) for at in found]
+    return np.array(out, np.float32).reshape(-1, FEATURES)
 
 
-def context_table(texts: list[str]) -> np.ndarray:
-    """Index vectors of the two words before and after, summed for each hashed row and brought to unit length."""
-    words, table = Words(), np.zeros((ROWS, DIM), np.float32)
-    for lo in range(0, len(texts), 128):
-        for at in words.of(texts[lo : lo + 128]):
-            if len(at) > 1:
-                x, rows = words.vectors[at], words.rows[at]
+def add_context(texts: pa.Array, table: np.ndarray) -> None:
+    """Adds to each word's row the index vectors of the two words before and after it."""
+    for part in slices(texts):
+        found, rows, index = word_rows(part)
+        for at in found:
+            for lo in range(0, len(at), 1 << 15):  # with two words on each side
+                x, inner = index[at[max(0, lo - 2) : lo + (1 << 15) + 2]], slice(min(lo, 2), min(lo, 2) + min(1 << 15, len(at) - lo))
                 near = np.zeros_like(x)
                 for d in (1, 2):
                     near[d:] += x[:-d]
                     near[:-d] += x[d:]
-                order = np.argsort(rows, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-                table[rows[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)
+                to = rows[at[lo : lo + (1 << 15)]]
+                order = np.argsort(to, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0])
+                table[to[order][starts]] += np.add.reduceat(near[inner][order].astype(np.float64), starts, axis=0)
+
+
+def unit_rows(table: np.ndarray) -> np.ndarray:
+    table = table / _UNIT
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)).astype(np.float16)
 
 
 def train(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, epochs: int = 30, seed: int = 5) -> dict[str, np.ndarray]:
@@ -156,58 +162,70 @@ def logits(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
     return (np.maximum(z @ model["w1"] + model["b1"], 0) @ model["w2"] + model["b2"]) / model["temperature"]
 
 
-def fit(texts: list[str], y: np.ndarray, calibrate: np.ndarray) -> dict[str, np.ndarray]:
-    if len(set(y.tolist())) < 2:
-        return {"prior": np.array([y.mean() if len(y) else 0.5])}
-    context = context_table([t for t, c in zip(texts, calibrate, strict=True) if not c])
-    model = train(features(texts, Words(context)), y.astype(float), calibrate)
-    return {"context": context.astype(np.float16), **model}
-
-
 def bucket(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0: held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0))
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
-    """The model as an npz file. Only labelled rows that are not held out are used, at most `most`."""
+def training_table(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, text, quality, part: labelled rows that are not held out, at most `most`."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter(bucket(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # of ids and labels alone, a bounded number
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).withColumn("part", bucket(F.col("doc_id")))
+    return cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).withColumn("part", bucket(F.col("doc_id"))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_ = [b for b in batches if len(b)]
-        got = pd.concat(all_).sort_values("doc_id") if all_ else pd.DataFrame({"text": [], "quality": [], "part": []})
-        out = io.BytesIO()
-        np.savez_compressed(out, **fit(got["text"].tolist(), got["quality"].to_numpy(float), got["part"].to_numpy(float) == 1))
-        yield pd.DataFrame({"model": [out.getvalue()]})
 
-    made = rows.coalesce(1).mapInPandas(run, "model binary").collect()
-    return bytes(made[0][0]) if made else b""
+def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
+    """The model as an npz file. What comes to the driver is a table of fixed size from each of FIT_TASKS tasks, and FEATURES numbers a training row."""
+    rows = training_table(documents, labels, most).coalesce(FIT_TASKS)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((ROWS, DIM))
+        for batch in batches:
+            add_context(batch["text"], table)
+        yield pa.RecordBatch.from_arrays([pa.array([table.astype("<i4").tobytes()], pa.binary())], names=["table"])
 
-def score(documents: DataFrame, model: bytes) -> DataFrame:
-    """The documents with score: the probability of label 1. No shuffle."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: table, network, temperature
+    found = rows.filter("part <> 1").select("text").mapInArrow(count, "table binary").collect()
+    context = unit_rows(sum((np.frombuffer(r["table"], "<i4").reshape(ROWS, DIM).astype(np.float64) for r in found), np.zeros((ROWS, DIM))))
+    sent = documents.sparkSession.sparkContext.broadcast(context)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = dict(np.load(io.BytesIO(sent.value))) if sent.value else {"prior": np.array([0.5])}
-        words = Words(net["context"].astype(np.float32)) if "context" in net else None
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value.astype(np.float32)
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.iloc[lo : lo + 1024]
-                if words is None:
-                    p = np.full(len(part), float(net["prior"][0]))
-                else:
-                    p = 1 / (1 + np.exp(-logits(features(part["text"].fillna("").tolist(), words), net).clip(-700, 700)))
-                yield part[keep].assign(score=p)
+            x = pa.array([f.tobytes() for f in features(batch["text"], known)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], batch["part"], x], names=["doc_id", "quality", "part", "x"])
+
+    got = rows.select(F.col("doc_id").cast("string"), F.col("quality").cast("double"), F.col("part").cast("int"), "text").mapInArrow(pool, "doc_id string, quality double, part int, x binary").collect()
+    got.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["quality"] for r in got])
+    if len(set(y.tolist())) < 2:
+        model = {"prior": np.array([y.mean() if len(y) else 0.5])}
+    else:
+        x = np.array([np.frombuffer(r["x"], np.float32) for r in got])
+        model = {"context": context, **train(x, y, np.array([r["part"] == 1 for r in got]))}
+    out = io.BytesIO()
+    np.savez_compressed(out, **model)
+    return out.getvalue()
+
+
+def probability(texts: pa.Array, model: dict[str, np.ndarray], context: np.ndarray | None) -> np.ndarray:
+    if context is None:
+        return np.full(len(texts), float(model["prior"][0]))
+    return 1 / (1 + np.exp(-logits(features(texts, context), model).clip(-700, 700)))
+
+
+def scorer(spark: SparkSession, model: bytes):
+    """A function of a text column: the probability of label 1. Texts go to Python, scores come back."""
+    sent = spark.sparkContext.broadcast(model)  # of fixed size: table, network, temperature
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        net = dict(np.load(io.BytesIO(sent.value)))
+        context = net["context"].astype(np.float32) if "context" in net else None
+        for texts in batches:
+            yield pa.array(probability(texts, net, context), pa.float64())
 
-    keep = [c for c in documents.columns if c != "score"]
-    if "text" not in keep:
-        raise ValueError("documents need a column text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in keep) + ", score double"
-    return documents.select(*keep).mapInPandas(run, schema)
+    return score
 
 
 THRESHOLD = 0.3
@@ -215,10 +233,12 @@ THRESHOLD = 0.3
 
 def scored_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that op6 returns."""
-    got = score(documents.select("doc_id", "text"), fit_on(documents, labels))
+    score = scorer(documents.sparkSession, fit_on(documents, labels))
+    got = documents.select("doc_id", score(F.col("text")).alias("score"))
     return got.select("doc_id", (bucket(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def quality_stage(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the classifier accepts, with the columns of documents."""
-    return score(documents, fit_on(documents, labels)).filter(F.col("score") >= THRESHOLD).select(*documents.columns)
+    score, name = scorer(documents.sparkSession, fit_on(documents, labels)), free_name(documents, "_score")
+    return documents.withColumn(name, score(F.col("text"))).filter(F.col(name) >= THRESHOLD).drop(name)
