@@ -10,7 +10,8 @@ Work goes on in windows of bounded rows and bytes over the input's own partition
 sequence_id is partition << 40 | count, so it is the same in every rerun over the same partitions.
 
 Defined cases: a null text is empty and holds just the closing id; an empty table gives no rows; repeated rows
-and ids are packed as often as they come; a null prompt length means that every id bears loss.
+and ids are packed as often as they come; a null prompt length means that every id bears loss; texts of any length are cut, never shortened;
+columns besides the id, the content and the prompt length are not read.
 """
 
 from __future__ import annotations
@@ -26,22 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import worker_cache
+
 SCHEMA = "id long, start long, length long, doc_tokens long, loss long, sequence_id long, offset long, ids_crc32 long, ids binary"
 COLUMNS = ["id", "start", "length", "doc_tokens", "loss", "sequence_id", "offset", "ids_crc32", "ids"]
 
 
 class WordTokenizer:
-    """The ids of texts, word by word through a cache that lasts as long as the Python worker.
+    """The ids of texts, word by word through a cache that the Python worker keeps from task to task.
 
     Exact for the lower-casing BPE with word ends, which parts words at white space and drops it: what stands
     between ASCII white space is looked up. New words of plain letters, with one mark after them at most, are
     lower-cased here and go to the BPE model in one call; every other word goes through the library's whole
-    pipeline. At most `most` words, and as many lower-case stems, are kept.
+    pipeline. At most `most` words are kept, twice over: when they are full, they become the old ones, in which words are looked up that
+    are not among the new ones, so that frequent words stay. As many lower-case stems are kept.
     """
 
-    _open: dict[str, WordTokenizer] = {}
-
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -49,7 +51,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.most, self.kept, self.stems = most, {}, {}
+        self.most, self.kept, self.old, self.stems = most, {}, {}, {}
         vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.ends = np.array([k.endswith("</w>") for k, _ in vocab])
         self.marks = {m: self._whole(m) for m in ("", *".,;:|!?")}
@@ -59,9 +61,7 @@ class WordTokenizer:
 
     @classmethod
     def open(cls, path: str) -> WordTokenizer:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        return worker_cache(f"tokenizer {path}", lambda: cls(path))
 
     def _whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -105,13 +105,16 @@ class WordTokenizer:
             words = content.split()
             new = {w for w in words if w not in self.kept}
             if len(self.kept) + len(new) > self.most:
-                self.kept.clear()
+                self.kept, self.old = {}, self.kept
                 new = set(words)
             if len(new) > self.most:  # more different words in one text than may be kept
                 out.append(self._whole(content.decode(errors="replace")))
                 continue
             if new:
-                self._learn(sorted(new))
+                known = new & self.old.keys()
+                self.kept.update((w, self.old[w]) for w in known)
+                if len(known) < len(new):
+                    self._learn(sorted(new - known))
             out.append(b"".join(map(self.kept.__getitem__, words)))
         return out
 
