@@ -106,6 +106,43 @@ def test_spectrum_in_chunks_is_the_same():
     assert all((a == b).all() for a, b in zip(media.spectrum_peaks(x), media.spectrum_peaks(x, 7), strict=True))
 
 
+def slow_fingerprint(samples, fan=2):
+    """Frame by frame, bin by bin, with sums instead of a fast transform."""
+    x = [v - 128.0 for v in samples]
+    x += [0.0] * max(media.FRAME - len(x), -len(x) % media.HOP)
+    frames = [x[at : at + media.FRAME] for at in range(0, len(x) - media.FRAME + 1, media.HOP)]
+    n, window = media.FRAME, np.hanning(media.FRAME)
+    wave_of = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    power = [[abs(sum(wave_of[k] * (np.array(f) * window))) for k in range(n // 2 + 1)] for f in frames]
+    out = []
+    for b, (lo, hi) in enumerate(zip(media.BANDS, media.BANDS[1:], strict=False)):
+        best = [max(range(lo, hi), key=lambda k, p=p: p[k]) for p in power]
+        loud = [p[k] for p, k in zip(power, best, strict=True)]
+        mean = sum(loud) / len(loud)
+        peaks = [t for t, v in enumerate(loud) if v > mean and v > 0 and v >= max(loud[max(0, t - media.REACH) : t + media.REACH + 1])]
+        for i, t in enumerate(peaks):
+            for u in peaks[i + 1 : i + 1 + fan]:
+                if u - t < 64:
+                    out.append(t << 32 | b << 28 | best[t] << 20 | best[u] << 8 | u - t)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [64, 256, 320, 4096, 6400])
+def test_fingerprint_equals_a_slow_version(n):
+    x = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
+    assert media.fingerprint(x).tolist() == slow_fingerprint(x)
+
+
+def test_maps_of_odd_tables(spark):
+    kind = "doc_id long, text string, id string, content int, wav int"
+    assert media.media_digest(spark.createDataFrame([], kind)).count() == 0
+    rows = spark.createDataFrame([(1, "w " * 400_000, "a", 1, 2)] * 2 + [(None, None, None, None, None)], kind)
+    got = media.media_digest(rows).collect()
+    assert len(got) == 3 and sorted(r.n_bytes for r in got) == [0, 800_000, 800_000] and len({r.media_sha256 for r in got}) == 2
+    packed = packing.packed_documents(rows).collect()
+    assert sum(r.length for r in packed) == 2 * (400_000 + 1) + 1 and sum(r.start == 0 for r in packed) == 3
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 CONV = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", CONTROL), (1, 3, "assistant", "&lt;| &amp; <|im_sep|>"), (2, 0, None, "x"), (2, 0, "sys\ntem&#10;", ""), (None, None, "assistant", "\n\n"), (3, 5, "assistant", "y" * 50000), (3, 5, "assistant", "y" * 50000)]
 
@@ -137,6 +174,6 @@ def test_chat_runs_no_python(spark):
 def test_word_tokenizer_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     words = "Éé ÀÖ straße ǅ İstanbul ªº œuf Œ ŉ ſ ﬁ K ÿ Ÿ a. a.. .. | 'S it's x1y Zß, ñandú: µ ð Þ ĲĳĿ é ́a ab cd x y ​ À. 漢字 ١٢".split(" ")
-    t = packing.WordTokenizer(path, most=9)
+    t = packing.WordTokenizer(path, most=9)  # words go and come back
     for text in (*TEXTS, " ".join(words), *words):
         assert np.frombuffer(t.encode([(text or "").encode()])[0], "<u4").tolist() + [2] == brute_ids(text), repr(text)[:60]
