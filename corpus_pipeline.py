@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, repeated lines, near copies, source mix, packing. Each stage reads what the one before wrote."""
+"""The corpus pipeline: quality, repeated lines, near copies, source mix, packing. Each stage reads what the one before wrote.
+
+Defined cases are those of the stages' modules: null and empty texts pass the first four stages (wordless ones are scored as the average document; line
+dedup drops only those that it empties; near dedup keeps each of them; the mix takes each once) and are packed as the closing id alone; documents are
+told apart by id and text, so null and repeated ids lose nothing; all but the last stage return the columns of documents, whatever more there
+are; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import shared_dir
+from millrace.llm.common import remove, shared_dir
 from millrace.llm.line_dedup import line_stage
 from millrace.llm.mixing import mix_stage
 from millrace.llm.near_dedup import near_stage
@@ -44,15 +50,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near_copies), ("mix_sources", mix), ("pack", pack)]
 
-#: The network, the tokenizer and the packing heuristic are not SQL; tests hold the stages against brute force.
+#: The network, the tokenizer and the packing heuristic are not SQL; tests hold each stage's rows against brute force on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and goes when the next one is written.
+
+    The last one goes when the driver's JVM ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(f"{base}/{k}")
+    remove(spark, base, at_exit=True)
     return docs

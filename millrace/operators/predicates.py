@@ -20,7 +20,7 @@ class Predicate:
         raise NotImplementedError
 
     def pretty(self) -> str:
-        """Canonical text; equal predicates have equal text."""
+        """Canonical text: the same predicates under AND or OR have the same text in any order."""
         raise NotImplementedError
 
     def __and__(self, other: Predicate) -> Predicate:
@@ -108,4 +108,5 @@ class Logic(Predicate):
     def pretty(self) -> str:
         if self.op == "NOT":
             return f"(NOT {self.parts[0].pretty()})"
-        return "(" + f" {self.op} ".join(p.pretty() for p in self.parts) + ")"
+        flat = [p for x in self.parts for p in (x.parts if isinstance(x, Logic) and x.op == self.op else (x,))]
+        return "(" + f" {self.op} ".join(sorted({p.pretty() for p in flat})) + ")"

@@ -8,6 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A shuffled hash join keeps a partition of its build side in memory: at most so many bytes of it are hinted for.
+HASHED_PARTITION = 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of what a DataFrame holds."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def as_build_side(df: DataFrame) -> DataFrame:
+    """Hinted as the hashed side, where it is too large to be broadcast anyway and its partitions fit in memory."""
+    conf = df.sparkSession.conf
+    small = conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    small = int(small[:-1]) * unit[small[-1]] if small[-1] in unit else int(small)
+    fits = int(conf.get("spark.sql.shuffle.partitions")) * HASHED_PARTITION
+    return df.hint("SHUFFLE_HASH") if small < plan_bytes(df) <= fits else df
+
+
 @dataclass(frozen=True)
 class Scan:
     base: int
@@ -39,7 +58,7 @@ class Plan:
 
     def join(self, left: int, right: int, keys: list[tuple[int, int]], outputs: list[int], build_left: bool | None = None) -> int:
         if not keys:
-            raise ValueError("cannot find a join condition")
+            raise ValueError("a join needs a pair of keys")
         widths = len(self.nodes[left].outputs), len(self.nodes[right].outputs)
         if any(not (0 <= a < widths[0] and 0 <= b < widths[1]) for a, b in keys) or any(not 0 <= o < sum(widths) for o in outputs):
             raise ValueError("a position is outside of the inputs' outputs")
@@ -48,7 +67,7 @@ class Plan:
         return self.root
 
     def to_dataframe(self, names: list[str] | None = None, honour_build: bool = False) -> DataFrame:
-        """Columns have unique positional names on the way. honour_build: hint the build side; else statistics decide at run time."""
+        """Columns have unique positional names on the way. honour_build: hint the build side where its size calls for it; else statistics decide at run time."""
         built: dict[int, DataFrame] = {}
         for i, node in enumerate(self.nodes):  # children come before parents
             if isinstance(node, Scan):
@@ -61,7 +80,7 @@ class Plan:
                     rc = [f"{c}_r" for c in rc]
                     r = r.toDF(*rc)
                 if honour_build and node.build_left is not None:
-                    l, r = (l.hint("SHUFFLE_HASH"), r) if node.build_left else (l, r.hint("SHUFFLE_HASH"))
+                    l, r = (as_build_side(l), r) if node.build_left else (l, as_build_side(r))
                 on = F.lit(True)
                 for k, (a, b) in enumerate(node.keys):
                     same = F.col(lc[a]) == F.col(rc[b])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from millrace.operators.predicates import Compare
 from millrace.plans import pgplan, sqlfront
 from millrace.plans.plan import Plan
-from millrace.sources.tables import TABLES, cached_scan, read_csv, read_table
+from millrace.plans.verify import golden, same_bag
+from millrace.sources.tables import TABLES, as_text, cached_scan, from_rows, read_csv, read_table
 
 #: Nullable views of driver tables, which hold no NULL themselves: name -> (table, column that is nulled, value).
 NULLED = {"orders_n": ("orders", "o_orderstatus", "F"), "customer_n": ("customer", "c_nationkey", 3), "supplier_n": ("supplier", "s_nationkey", 3)}
@@ -71,6 +72,10 @@ SPJ: dict[str, tuple[str, str]] = {
     "join_duplicate_output": ("n.n_name AS first_name, n.n_name AS second_name", "nation n, region r WHERE n.n_regionkey = r.r_regionkey"),
     "join_mixed_width_key": ("s.s_suppkey, n.n_name", "supplier s, nation n WHERE s.s_suppkey = n.n_nationkey"),
     "spj_sql": ("n.n_name, o.o_orderkey", "customer AS c, orders AS o, nation AS n WHERE c.c_custkey = o.o_custkey AND n.n_nationkey = c.c_nationkey AND (o.o_orderstatus = 'P' OR o.o_orderpriority = '5-LOW') AND c.c_acctbal > 0"),
+    "join_class_two_columns": ("s.s_suppkey, n.n_nationkey, n.n_regionkey", "supplier s, nation n WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = s.s_nationkey"),
+    "filter_not_and": ("p.p_partkey, p.p_size", "part p WHERE NOT (p.p_size > 10 AND p.p_type = 'PROMO')"),
+    "filter_not_and_null": ("o.o_orderkey, o.o_orderstatus", "orders_n o WHERE NOT (o.o_orderstatus = 'O' AND (o.o_totalprice > 1.5e5 OR o.o_orderpriority LIKE '1%'))"),
+    "filter_null_literal": ("o.o_orderkey, o.o_orderstatus", "orders_n o WHERE o.o_orderstatus = NULL OR o.o_totalprice < 2e3"),
     "join_or_across": ("c.c_custkey, o.o_orderkey", "customer c, orders o WHERE c.c_custkey = o.o_custkey AND (c.c_acctbal < 0 OR o.o_orderstatus = 'P')"),
 }
 #: As above, with MIN over each column of the select list.
@@ -125,17 +130,135 @@ def filter_not_two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlfront.run("SELECT o.o_orderkey, o.o_orderstatus FROM orders_n o WHERE NOT (o.o_orderstatus = 'O')", tables(spark, sf_dir), ["o_orderkey", "o_orderstatus"], two_valued=True)
 
 
+def join_right_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = ("r", ("n", ("c", "o", True), True), True)
+    return sqlfront.run(f"SELECT {_BUSHY[0]} FROM {_BUSHY[1]}", tables(spark, sf_dir), _names(_BUSHY[0]), tree)
+
+
+def plan_json_no_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql, t = "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", tables(spark, sf_dir)
+    scan = lambda x: {"Node Type": "Index Only Scan", "Relation Name": x}
+    bound = sqlfront.parse(sql, {k: v.columns for k, v in t.items()})
+    return sqlfront.run(sql, t, ["n_name", "r_name"], pgplan.join_tree(_JOIN(scan("nation"), _HASH(scan("region"))), bound))
+
+
+def executed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewritten text, with plain columns instead of MIN, run by Spark itself."""
+    t = tables(spark, sf_dir)
+    text = sqlfront.plain_sql(f"SELECT {MINS['spj_sql_min'][0]} FROM {MINS['spj_sql_min'][1]};", {k: v.columns for k, v in t.items()})
+    return sqlfront.any_sql(spark, text, t).toDF("n_name", "o_totalprice", "c_custkey")
+
+
+def sql_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlfront.any_sql(spark, _SUPERSET, tables(spark, sf_dir))
+
+
+_SUPERSET = "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS least FROM orders WHERE o_totalprice * 2 > 1e5 AND length(o_orderstatus) = 1 GROUP BY o_orderpriority"
+#: Texts that are not select-project-join queries, and one that is.
+_OTHER = {"group": "SELECT r_name FROM region GROUP BY r_name", "order": "SELECT r_name FROM region ORDER BY r_name", "limit": "SELECT r_name FROM region LIMIT 1", "distinct": "SELECT DISTINCT r_name FROM region", "join": "SELECT r_name FROM region JOIN nation ON r_regionkey = n_regionkey", "plain": "SELECT r_name FROM region"}
+
+
+def sql_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts the front end turns down."""
+    known, out = {"region": ["r_regionkey", "r_name"], "nation": ["n_regionkey"]}, []
+    for name, text in _OTHER.items():
+        try:
+            sqlfront.parse(text, known)
+            out.append((name, False))
+        except sqlfront.UnsupportedSql:
+            out.append((name, True))
+    return spark.createDataFrame(out, "name string, rejected boolean")
+
+
+def rows_to_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_rows(spark, [(1, "a", 2.5, None), (None, "", None, 7), (-(2**31), None, -0.5, 2**40)], [("a", "INT32"), ("b", "VARCHAR"), ("c", "FP64"), ("d", "INT64")])
+
+
+def long_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join output of strings of over 8 KB."""
+    t = tables(spark, sf_dir)
+    t["region"] = t["region"].withColumn("r_name", F.repeat("r_name", 3000))
+    return sqlfront.run("SELECT r.r_name, n.n_name FROM region r, nation n WHERE r.r_regionkey = n.n_regionkey", t, ["r_name", "n_name"])
+
+
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_text(tables(spark, sf_dir)["orders_n"].select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+
+
+def bag_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)["nation"].select("n_regionkey", "n_name")
+    twice = t.union(t)
+    cases = {"itself": (t, t), "renamed": (t, t.toDF("x", "y")), "multiplicity": (t, twice), "more": (twice, t), "types": (t, t.withColumn("n_regionkey", F.col("n_regionkey").cast("long")))}
+    return spark.createDataFrame([(k, same_bag(a, b)) for k, (a, b) in cases.items()], "name string, equal boolean")
+
+
 def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
     import tempfile
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/{uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/{uuid4().hex}"
+
+
+def _part_csv(spark: SparkSession, sf_dir: str, extra: list[str]) -> str:
+    path = _folder(spark)
+    cols = [F.col(c) for c, _ in _PART] + [F.lit(None).cast("string").alias(c) for c in extra]
+    read_table(spark, sf_dir, "part").select(*cols).write.csv(path, escape="\\")
+    return path
+
+
+_PART = [("p_partkey", "INT64"), ("p_name", "VARCHAR"), ("p_size", "INT32"), ("p_retailprice", "FP64")]
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, _part_csv(spark, sf_dir, []), _PART, Compare("p_size", "<=", 25), check_quotes=False, multi_line=False)
+
+
+def csv_trailing_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, _part_csv(spark, sf_dir, ["end"]), _PART, trailing_sep=True)
+
+
+#: Texts of two columns (a whole number, a text), some of which fail.
+_CSV = {"ragged": "1,a,b\n", "short": "1\n", "type": "12abc,x\n", "open": '1,"x\n', "quoted": '1,"a, ""b"\n', "inner": '1,a"b"c\n', "one": '1,5" pipe\n', "plain": "1,a\n"}
+
+
+def csv_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts fail to be read."""
+    out = []
+    for name, text in _CSV.items():
+        path = _folder(spark)
+        spark.range(1).select(F.lit(text.rstrip("\n"))).write.text(path)
+        try:
+            read_csv(spark, path, [("a", "INT32"), ("b", "VARCHAR")], escape='"' if name == "quoted" else "\\").collect()
+            out.append((name, False))
+        except Exception:  # the reader's own errors, whatever their class
+            out.append((name, True))
+    return spark.createDataFrame(out, "name string, fails boolean")
+
+
+def csv_inner_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote inside an unquoted field is a character like any other."""
+    path = _folder(spark)
+    read_table(spark, sf_dir, "part").select(F.concat_ws(",", "p_partkey", F.concat(F.lit('5" '), "p_name"))).write.text(path)
+    return read_csv(spark, path, [("p_partkey", "INT64"), ("p_name", "VARCHAR")])
+
+
+def table_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole parsed table, read from its cache the second time."""
+    folder, read = _folder(spark), read_csv(spark, _part_csv(spark, sf_dir, []), _PART)
+    cached_scan(read, "part", None, folder)
+    return cached_scan(read, "part", None, folder)
+
+
+def golden_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a result equals the one kept before: the same, in another order, and a wrong one."""
     path = _folder(spark)
-    cols = [("p_partkey", "INT64"), ("p_name", "VARCHAR"), ("p_size", "INT32"), ("p_retailprice", "FP64")]
-    read_table(spark, sf_dir, "part").select(*[c for c, _ in cols]).write.csv(path, escape="\\")
-    return read_csv(spark, path, cols, Compare("p_size", "<=", 25))
+    t = tables(spark, sf_dir)["customer"].select("c_custkey", "c_name")
+    golden(t, path)
+    cases = {"same": t, "reordered": t.orderBy(F.desc("c_name")), "wrong": t.filter("c_custkey <> 1")}
+    return spark.createDataFrame([(k, golden(df, path)) for k, df in cases.items()], "name string, equal boolean")
 
 
 def scan_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +272,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: _spj(n) for n in SPJ}, **{n: _spj(n, True) for n in MINS},
     "join_bushy": join_bushy, "join_build_right": join_build_right, "plan_json": plan_json,
     "filter_not_two_valued": filter_not_two_valued, "csv_roundtrip": csv_roundtrip, "scan_cache": scan_cache,
+    "join_right_deep": join_right_deep, "plan_json_no_alias": plan_json_no_alias, "executed_sql": executed_sql, "sql_superset": sql_superset,
+    "sql_rejected": sql_rejected, "rows_to_columns": rows_to_columns, "long_strings": long_strings, "text_sink": text_sink,
+    "bag_equality": bag_equality, "csv_trailing_sep": csv_trailing_sep, "csv_errors": csv_errors, "csv_inner_quotes": csv_inner_quotes,
+    "table_cache": table_cache, "golden_result": golden_result,
 }
 ORACLE_SQL: dict[str, str] = {
     **{n: _oracle(*q) for n, q in {**SPJ, **MINS}.items()},
@@ -157,4 +284,18 @@ ORACLE_SQL: dict[str, str] = {
     "filter_not_two_valued": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS o_orderstatus FROM orders WHERE o_orderstatus <> 'O'",
     "csv_roundtrip": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size <= 25",
     "scan_cache": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "join_right_deep": _oracle(*_BUSHY),
+    "plan_json_no_alias": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "executed_sql": _oracle("n.n_name, o.o_totalprice, c.c_custkey", SPJ["spj_sql"][1]),
+    "sql_superset": _SUPERSET,
+    "sql_rejected": "SELECT * FROM (VALUES ('group', true), ('order', true), ('limit', true), ('distinct', true), ('join', true), ('plain', false)) AS t(name, rejected)",
+    "rows_to_columns": "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'a', CAST(2.5 AS DOUBLE), CAST(NULL AS BIGINT)), (NULL, '', NULL, 7), (-2147483648, NULL, -0.5, 1099511627776)) AS t(a, b, c, d)",
+    "long_strings": "SELECT repeat(r_name, 3000) AS r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey",
+    "text_sink": """SELECT o_orderkey || '|' || CASE WHEN o_orderstatus = 'F' THEN 'NULL' ELSE '"' || o_orderstatus || '"' END || '|"' || o_orderpriority || '"' AS line FROM orders""",
+    "bag_equality": "SELECT * FROM (VALUES ('itself', true), ('renamed', true), ('multiplicity', false), ('more', false), ('types', false)) AS t(name, equal)",
+    "csv_trailing_sep": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "csv_errors": "SELECT * FROM (VALUES ('ragged', true), ('short', true), ('type', true), ('open', true), ('quoted', false), ('inner', false), ('one', false), ('plain', false)) AS t(name, fails)",
+    "csv_inner_quotes": "SELECT p_partkey, '5\" ' || p_name AS p_name FROM part",
+    "table_cache": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "golden_result": "SELECT * FROM (VALUES ('same', true), ('reordered', true), ('wrong', false)) AS t(name, equal)",
 }

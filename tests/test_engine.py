@@ -1,16 +1,21 @@
-"""Plans, front ends, predicates and CSV on small tables."""
+"""Plans, front ends, predicates, CSV, catalog and runner on small tables."""
+
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import runner
 from millrace.operators.predicates import Compare
 from millrace.plans import pgplan, sqlfront
 from millrace.plans.plan import Plan
-from millrace.plans.verify import same_bag
+from millrace.plans.verify import golden, phases, same_bag, timed
+from millrace.sources.catalog import Catalog, movie_tables
 from millrace.sources.tables import as_text, cached_scan, from_rows, read_csv
 
 PAIR = [("a", "INT32"), ("s", "VARCHAR")]
-ROWS = [(1, "xxx"), (1, "yyy"), (None, "zzz"), (2, "uuu"), (3, "vvv")]
+ROWS = [(40, "oak"), (40, "elm"), (None, "yew"), (17, "fir"), (-8, None)]
 
 
 def joined(spark, left, right, build_left=True):
@@ -23,22 +28,26 @@ def joined(spark, left, right, build_left=True):
 ONE = lambda *xs: [(x,) for x in xs]
 
 
+def keys(seed, n, kinds, nulls):
+    rng = random.Random(seed)
+    return [None if rng.random() < nulls else rng.choice(kinds) for _ in range(n)]
+
+
+WIDE = [-(2**31), -7, 0, 3, 2**31 - 1]
+
+
 @pytest.mark.parametrize("build_left", [True, False, None])
-@pytest.mark.parametrize(
-    ("left", "right", "n"),
-    [((), (), 0), ((1,), (1,), 1), ((1, 2, 3), (4, 5, 6), 0), ((1, 1, 2, 3), (1, 1, 2, 3), 6), ((1, 1, None, 2, 3), (1, 1, None, 2, 3), 6), ((None,) * 3, (None,) * 3, 0), ((-1, -2, -3), (-2, -3, -4), 2), ((0, 1024, 2048, 3072), (0, 1024, 4096), 2), ((7,) * 100, (7,) * 100, 10_000), ((-(2**31), 5), (-(2**31), None), 1)],
-)
-def test_two_way(spark, left, right, n, build_left):
-    got = joined(spark, ONE(*left), ONE(*right), build_left)
-    assert len(got) == n and all(a == b for a, b in got)
+@pytest.mark.parametrize(("left", "right"), [([], []), ([9], [9]), ([], [4]), (keys(1, 60, WIDE, 0.2), keys(2, 45, WIDE, 0.3)), (keys(3, 300, range(40), 0), keys(4, 200, range(30, 90), 0.1)), (keys(5, 30, [5], 1.0), keys(6, 30, [5], 0.5)), (keys(7, 120, [12], 0), keys(8, 90, [12, 13], 0))])
+def test_two_way_joins_equal_nested_loops(spark, left, right, build_left):
+    assert joined(spark, ONE(*left), ONE(*right), build_left) == sorted((x, y) for x in left for y in right if x is not None and x == y)
 
 
 def test_reordered_outputs_and_three_levels(spark):
     plan = Plan()
     a, b = plan.scan(from_rows(spark, ROWS, PAIR), [0]), plan.scan(from_rows(spark, ROWS, PAIR), [1, 0])
     ab = plan.join(a, b, [(0, 1)], [0, 2, 1, 1])
-    plan.join(ab, plan.scan(from_rows(spark, [(1, "u" * 9000), (2, None)], PAIR)), [(0, 0)], [2, 5])
-    assert sorted(plan.to_dataframe().collect(), key=repr) == sorted([(s, "u" * 9000) for s in ("xxx", "xxx", "yyy", "yyy")] + [("uuu", None)], key=repr)
+    plan.join(ab, plan.scan(from_rows(spark, [(40, "u" * 9000), (17, None)], PAIR)), [(0, 0)], [2, 5])
+    assert sorted(plan.to_dataframe().collect(), key=repr) == sorted([(s, "u" * 9000) for s in ("oak", "oak", "elm", "elm")] + [("fir", None)], key=repr)
 
 
 def test_scan_root_and_bad_plans(spark):
@@ -50,7 +59,7 @@ def test_scan_root_and_bad_plans(spark):
     with pytest.raises(ValueError):
         plan.join(a, a, [(0, 9)], [0])
     plan.join(a, a, [(0, 0)], [0, 3])
-    assert plan.to_dataframe().count() == 5
+    assert plan.to_dataframe().count() == 4
 
 
 CATALOG = {"t": ["id", "k", "name"], "u": ["id", "k"], "v": ["id", "only"]}
@@ -83,6 +92,8 @@ def test_not_over_null(spark):
     p = ~Compare("a", "=", 5)
     assert df.filter(p.compile(F.col)).count() == 1 and df.filter(p.compile(F.col, True)).count() == 2
     assert (p & Compare("s", "IN", ("a", "it's"))).pretty() == "((NOT (a = 5)) AND (s IN ('a', 'it''s')))"
+    x, y, z = Compare("a", ">", 1), Compare("a", "<", 9), Compare("s", "IS NULL")
+    assert ((x & y) & z).pretty() == (z & (y & x)).pretty() != ((x | y) & z).pretty()
 
 
 def test_like(spark):
@@ -107,4 +118,108 @@ def test_cache_text_and_bags(spark, tmp_path):
     kept = cached_scan(df, "t", Compare("a", ">", 1), str(tmp_path))
     assert same_bag(kept, df.filter("a > 1")) and not same_bag(kept, df) and not same_bag(df.union(df), df)
     assert same_bag(cached_scan(df, "t", Compare("a", ">", 1), str(tmp_path)), kept)
-    assert {r.line for r in as_text(df).collect()} >= {'1|"xxx"', 'NULL|"zzz"', '9|"q\\"\\\\"'}
+    assert {r.line for r in as_text(df).collect()} >= {'40|"oak"', 'NULL|"yew"', "-8|NULL", '9|"q\\"\\\\"'}
+
+
+def test_two_columns_of_one_class_in_a_table(spark):
+    tables = {"t": from_rows(spark, [(1, 1), (2, 9), (9, 9), (3, None)], [("id", "INT32"), ("k", "INT32")]), "u": from_rows(spark, [(1, 0), (2, 0), (9, 0)], [("id", "INT32"), ("k", "INT32")])}
+    got = sqlfront.run("SELECT t.id FROM t, u WHERE t.id = u.id AND t.k = u.id", tables, ["id"])
+    assert sorted(r.id for r in got.collect()) == [1, 9]
+    got = sqlfront.run("SELECT t.id FROM t WHERE NOT (t.id > 1 AND NOT (t.k = 9 OR t.k IS NULL))", tables, ["id"])
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 9]
+    with pytest.raises(sqlfront.UnsupportedSql):
+        sqlfront.parse("SELECT t.id FROM t, u WHERE NOT (t.id = u.id AND t.k = 1)", CATALOG)
+
+
+def test_join_order_goes_by_size(spark):
+    tables = {n: spark.range(size).selectExpr("id", "id AS k") for n, size in (("big", 900), ("mid", 300), ("low", 5))}
+    b = sqlfront.parse("SELECT big.id FROM big, mid, low WHERE big.id = mid.id AND big.k = low.id", {n: ["id", "k"] for n in tables})
+    assert sqlfront.default_tree(b, sqlfront.estimated(b, tables)) == (("low", "big", None), "mid", None)
+    assert sqlfront.default_tree(b) == (("big", "mid", None), "low", None)
+
+
+def test_build_sides_are_hinted_by_size(spark, tmp_path):
+    spark.range(200_000).selectExpr("cast(id as int) id", "repeat('x', 200) s").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = Plan()
+    a, b = plan.scan(t, [0]), plan.scan(t, [0])
+    plan.join(a, b, [(0, 0)], [0], True)
+    seen = lambda: plan.to_dataframe(honour_build=True)._jdf.queryExecution().toString()
+    assert "shuffle_hash" not in seen().lower()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    assert "shuffle_hash" in seen().lower()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_csv_of_single_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('1,5" pipe\n2,a"b"c\n3,"x,y"\n')
+    for multi in (True, False):
+        assert sorted(read_csv(spark, str(tmp_path / "a.csv"), PAIR, multi_line=multi).collect()) == [(1, '5" pipe'), (2, 'a"b"c'), (3, "x,y")]
+    (tmp_path / "b.csv").write_text('1,"open\n2,x"\n')
+    assert read_csv(spark, str(tmp_path / "b.csv"), PAIR).collect() == [(1, "open\n2,x")]
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path / "b.csv"), PAIR, multi_line=False)
+
+
+def test_cache_of_a_source_that_changes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    from_rows(spark, ROWS, PAIR).write.parquet(path)
+    assert cached_scan(spark.read.parquet(path), "t", None, str(tmp_path)).count() == 5
+    from_rows(spark, ROWS[:2], PAIR).write.mode("overwrite").parquet(path)
+    assert cached_scan(spark.read.parquet(path), "t", None, str(tmp_path)).count() == 2
+
+
+def test_golden_phases_and_times(spark, tmp_path):
+    a, b = from_rows(spark, ROWS, PAIR), from_rows(spark, ROWS, PAIR)
+    df = a.join(b, "a")
+    assert golden(df, str(tmp_path / "g")) and golden(df, str(tmp_path / "g")) and not golden(df.limit(1), str(tmp_path / "g"))
+    got = phases(df.groupBy("a").count())
+    assert got["rows"] == 3 and got["total"] > 0 and set(got) > {"rows", "total"}
+    assert set(timed(lambda: a, 2)) == {"cold", "median", "mean", "min", "max", "stdev"}
+
+
+SMALL_DB = {
+    "title": [(k, f"title {k}", None, 1 + k % 3, 1990 + k, None, None, None, None, None, None, None) for k in range(30)],
+    "movie_keyword": [(k, k % 30, k % 7) for k in range(200)],
+    "keyword": [(k, f'word, \\"{k}\\"', None) for k in range(7)],
+}
+
+
+def test_runner_from_text_files_to_checked_rows(spark, tmp_path, capsys):
+    known = movie_tables()
+    assert len(known) == 21 and sum(map(len, known.values())) == 108 and known["cast_info"][5] == ("nr_order", "INT32")
+    data = tmp_path / "db"
+    data.mkdir()
+    for name, rows in SMALL_DB.items():
+        lines = [",".join("" if v is None else f'"{v}"' if isinstance(v, str) else str(v) for v in r) for r in rows]
+        (data / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    catalog = Catalog(str(data), {n: known[n] for n in SMALL_DB})
+    assert catalog.load(spark, "keyword", Compare("id", "<", 2)).collect()[0].keyword == 'word, "0"'
+    sql = tmp_path / "sql"
+    sql.mkdir()
+    (sql / "q1.sql").write_text("SELECT MIN(t.title) AS from_title, MIN(k.keyword) AS w\nFROM title AS t, movie_keyword AS mk, keyword AS k\nWHERE t.id = mk.movie_id AND mk.keyword_id = k.id AND k.id > 3 AND t.production_year BETWEEN 1995 AND 2005;\n")
+    (sql / "q2.sql").write_text("SELECT MIN(t.id) AS a FROM title AS t, movie_keyword AS mk WHERE t.id = mk.movie_id AND t.kind_id IN (1, 2);")
+    (sql / "q3.sql").write_text("SELECT t.id FROM title AS t ORDER BY t.id;")
+    scan = lambda n, a: {"Node Type": "Seq Scan", "Relation Name": n, "Alias": a}
+    tree = lambda x, y: {"Node Type": "Hash Join", "Plans": [x, {"Node Type": "Hash", "Plans": [y]}]}
+    plans = [{"Plan": {"Node Type": "Aggregate", "Plans": [tree(tree(scan("movie_keyword", "mk"), scan("title", "t")), scan("keyword", "k"))]}}, {"Plan": tree(scan("movie_keyword", "mk"), scan("title", "t"))}, {"Plan": scan("title", "t")}]
+    (tmp_path / "plans.json").write_text(json.dumps({"sql_directory": "sql", "names": ["q1", "q2", "q3"], "plans": plans}))
+    work = runner.read_workload(str(tmp_path / "plans.json"))
+    got = runner.run(spark, catalog, work, ["q1", "q2"], str(tmp_path / "kept"), runs=1)
+    assert all(x["correct"] for x in got.values()) and got["q1"]["phases"]["rows"] > 0 and set(got) == {"q1", "q2"}
+    assert not runner.run(spark, catalog, work, ["q3"])["q3"]["correct"]
+    with pytest.raises(ValueError):
+        runner.run(spark, catalog, work, ["q9"])
+    # kept rows that are others
+    from_rows(spark, [("x", "y")], [("c0", "VARCHAR"), ("c1", "VARCHAR")]).write.mode("overwrite").parquet(str(tmp_path / "kept" / "q1"))
+    assert not runner.run(spark, catalog, work, ["q1"], str(tmp_path / "kept"))["q1"]["correct"]
+    # the command: Parquet tables, exit code, file of times only when all is right
+    small = catalog.to_parquet(spark, str(tmp_path / "pq"))
+    assert same_bag(small.load(spark, "title"), catalog.load(spark, "title"))
+    for name in known.keys() - SMALL_DB.keys():
+        from_rows(spark, [], known[name]).write.parquet(str(tmp_path / "pq" / f"{name}.parquet"))
+    args = [str(tmp_path / "plans.json"), str(tmp_path / "pq"), "--kind", "parquet", "--times", str(tmp_path / "times.json")]
+    assert runner.main([*args, "q3"]) == 1 and not (tmp_path / "times.json").exists()
+    assert runner.main([*args, "q1", "q2"]) == 0 and set(json.loads((tmp_path / "times.json").read_text())) == {"q1", "q2"}
+    assert "q1 correct" in capsys.readouterr().out
