@@ -48,7 +48,9 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     all_ = Window.partitionBy()
     filling = Window.orderBy("level", F.col("source").asc_nulls_last())
     before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("even", (share * F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    dealt = F.coalesce(F.sum("most").over(before), F.lit(0.0))
+    weighed = F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    by = by.withColumn("even", (share * F.sum("source_size").over(all_) - dealt) / (F.sum("weight").over(all_) - weighed))
     whole = filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = F.first(F.when(F.col("level") > F.col("even"), F.col("even")), ignorenulls=True).over(whole)
     by = by.withColumn("target", F.when(found.isNull(), F.col("most")).otherwise(F.least(F.col("most"), found * F.col("weight"))))
@@ -105,10 +107,15 @@ def mixed_documents(documents: DataFrame, golden: int = GOLDEN) -> DataFrame:
     """The rows that op7 returns: what the mix takes of every document, from its first slot on."""
     placed, _, pieces = mix(sizes_of(documents), golden=golden)
     no = F.lit(None).cast("long")
-    none = placed.select("doc_id", "source", "size", "at", "source_size", "target", F.lit(0).cast("long").alias("length"), no.alias("slot"), F.lit(1).cast("long").alias("row"))
-    took = pieces.select("doc_id", "source", "size", "at", no.alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("length").cast("long"), "slot", F.lit(0).cast("long").alias("row"))
-    sums = [F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"), F.sum("row").alias("rows")]
-    rows = none.unionByName(took).groupBy("doc_id", "source", "size", "at").agg(*sums)
+    own = ("doc_id", "source", "size", "at")
+    none = placed.select(*own, "source_size", "target", F.lit(0).cast("long").alias("length"), no.alias("slot"), F.lit(1).cast("long").alias("row"))
+    figures = (no.alias("source_size"), F.lit(None).cast("double").alias("target"))
+    took = pieces.select(*own, *figures, F.col("length").cast("long"), "slot", F.lit(0).cast("long").alias("row"))
+    sums = [
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("length").alias("taken"),
+        F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"), F.sum("row").alias("rows"),
+    ]
+    rows = none.unionByName(took).groupBy(*own).agg(*sums)
     # rows with one position are wordless, and alike
     return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 

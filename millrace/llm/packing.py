@@ -196,7 +196,10 @@ def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int]
     return rows, []
 
 
-def pack(docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int, size: int = 4096, max_segments: int = 64, max_loss: int | None = None, prompt_tokens: Column | None = None, window_rows: int = 512, window_bytes: int = 32 << 20, with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int, size: int = 4096, max_segments: int = 64, max_loss: int | None = None,
+    prompt_tokens: Column | None = None, window_rows: int = 512, window_bytes: int = 32 << 20, with_ids: bool = True,
+) -> DataFrame:
     """One row per piece of a document. ids: the piece's ids, little-endian unsigned 32-bit (null unless with_ids), and their ids_crc32. Ids from prompt_tokens on bear loss. size: a power of two."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")

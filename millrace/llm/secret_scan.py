@@ -36,7 +36,14 @@ BEFORE, BODY, AFTER = 20, 40, 12
 LENGTH = BEFORE + BODY + AFTER
 WIDTH, FILTERS = 5, 16
 RECALL = 0.97
-_CLASSES = {c: k + 1 for k, group in enumerate([*"=:\"'@/.-_+ ", "\n\t\r", "ae", "bcdf", "iou", "lnrst", "ghmpwy", "jkqvxz", "AE", "BCDF", "IOU", "LNRST", "GHMPWY", "JKQVXZ", "01234", "56789", "(){}[]<>", ",;!?|&%$#*"]) for c in group}
+#: Groups of characters that count as one class each.
+_GROUPS = [
+    *"=:\"'@/.-_+ ", "\n\t\r",
+    "ae", "bcdf", "iou", "lnrst", "ghmpwy", "jkqvxz",
+    "AE", "BCDF", "IOU", "LNRST", "GHMPWY", "JKQVXZ",
+    "01234", "56789", "(){}[]<>", ",;!?|&%$#*",
+]
+_CLASSES = {c: k + 1 for k, group in enumerate(_GROUPS) for c in group}
 N_CLASSES = 2 + max(_CLASSES.values())
 #: Class by code point; 0 stands for no character, and all beyond the table are the last class.
 _TABLE = np.full(256, N_CLASSES - 1, np.int64)
@@ -95,7 +102,10 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[str], np.ndar
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     run = lambda alphabet, lo, hi: "".join(alphabet[k] for k in rng.integers(0, len(alphabet), int(rng.integers(lo, hi + 1))))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
-    parts = ["sch", "ch", "ung", "ein", "lich", "keit", "eau", "que", "ment", "tion", "aux", "ble", "th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
+    parts = (
+        "sch ch ung ein lich keit eau que ment tion aux ble th er on an re he in ed nd ha "
+        "at en es of or nt ea ti to it st io le is ou ar as de rt ve"
+    ).split()
     word = lambda lo=1, hi=4: "".join(pick(parts) for _ in range(int(rng.integers(lo, hi + 1))))
     prose = lambda k: " ".join(word() for _ in range(k))
     secrets = [

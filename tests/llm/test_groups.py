@@ -213,7 +213,7 @@ def line_texts(seed):
     rng = random.Random(seed)
     pool = ["a b c d e", "x", "y z", "one two three four", "", "  ", "q q q q q q", "end"] + [f"line {k}" for k in range(9)]
     texts = [None, "", "\n\n", "x\nx\nx\nx", "x\n" * 11, "\x1c odd\x85"] + ["\n".join(rng.choice(pool) for _ in range(rng.randrange(16))) for _ in range(40)]
-    return texts + ["\n".join(f"long run {k} stays whole" for k in range(300))] * 2 + ["\n".join(f"long run {k} stays whole" for k in range(7, 150))]
+    return texts + ["\n".join(f"long run {k} stays whole" for k in range(70))] * 2 + ["\n".join(f"long run {k} stays whole" for k in range(7, 45))]
 
 
 @pytest.mark.parametrize("seed", [3, 4])
