@@ -43,7 +43,10 @@ def _nodes(plan):
 
 
 #: The phases of a run: parts of the names of Spark's time metrics.
-PHASES = {"build": ("time to build",), "scan": ("scan time",), "broadcast": ("time to collect", "time to broadcast"), "shuffle write": ("shuffle write time",), "fetch": ("fetch wait time",), "sort": ("sort time",), "aggregate": ("time in aggregation",)}
+PHASES = {
+    "build": ("time to build",), "scan": ("scan time",), "broadcast": ("time to collect", "time to broadcast"),
+    "shuffle write": ("shuffle write time",), "fetch": ("fetch wait time",), "sort": ("sort time",), "aggregate": ("time in aggregation",),
+}
 
 
 def phases(df: DataFrame) -> dict[str, float]:

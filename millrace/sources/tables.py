@@ -21,7 +21,10 @@ def schema(attributes: list[tuple[str, str]]) -> T.StructType:
     return T.StructType([T.StructField(n, TYPES[t]) for n, t in attributes])
 
 
-def read_csv(spark: SparkSession, path: str, attributes: list[tuple[str, str]], where: Predicate | None = None, header: bool = False, sep: str = ",", escape: str = "\\", trailing_sep: bool = False, check_quotes: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, attributes: list[tuple[str, str]], where: Predicate | None = None, header: bool = False, sep: str = ",",
+    escape: str = "\\", trailing_sep: bool = False, check_quotes: bool = True, multi_line: bool = True,
+) -> DataFrame:
     """Typed CSV, filtered. Empty fields are NULL, also when quoted; ragged rows and fields of a wrong type fail. A quote inside an unquoted field stays as it is.
 
     trailing_sep: every row ends in a separator. check_quotes: an open quote at the end of a file (of a line, if not multi_line) fails, which the
