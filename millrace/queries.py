@@ -12,6 +12,7 @@ from millrace.operators.predicates import Compare
 from millrace.plans import pgplan, sqlfront
 from millrace.plans.plan import Plan
 from millrace.plans.verify import golden, same_bag
+from millrace.sources.catalog import Catalog
 from millrace.sources.tables import TABLES, as_text, cached_scan, from_rows, read_csv, read_table
 
 #: Nullable views of driver tables, which hold no NULL themselves: name -> (table, column that is nulled, value).
@@ -252,6 +253,17 @@ def table_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached_scan(read, "part", None, folder)
 
 
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed tables of a catalog, from CSV files to Parquet files to a join over both views."""
+    folder = _folder(spark)
+    known = {"nation": [("n_nationkey", "INT32"), ("n_name", "VARCHAR"), ("n_regionkey", "INT32")], "region": [("r_regionkey", "INT32"), ("r_name", "VARCHAR")]}
+    for name, columns in known.items():
+        read_table(spark, sf_dir, name).select(*[c for c, _ in columns]).write.csv(f"{folder}/{name}.csv", escape="\\")
+    found = Catalog(folder, known).to_parquet(spark, f"{folder}/columns").register(spark)
+    sql = "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'"
+    return sqlfront.run(sql, found, ["n_name", "r_name"])
+
+
 def golden_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a result equals the one kept before: the same, in another order, and a wrong one."""
     path = _folder(spark)
@@ -275,7 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_right_deep": join_right_deep, "plan_json_no_alias": plan_json_no_alias, "executed_sql": executed_sql, "sql_superset": sql_superset,
     "sql_rejected": sql_rejected, "rows_to_columns": rows_to_columns, "long_strings": long_strings, "text_sink": text_sink,
     "bag_equality": bag_equality, "csv_trailing_sep": csv_trailing_sep, "csv_errors": csv_errors, "csv_inner_quotes": csv_inner_quotes,
-    "table_cache": table_cache, "golden_result": golden_result,
+    "table_cache": table_cache, "golden_result": golden_result, "catalog_tables": catalog_tables,
 }
 ORACLE_SQL: dict[str, str] = {
     **{n: _oracle(*q) for n, q in {**SPJ, **MINS}.items()},
@@ -297,5 +309,6 @@ ORACLE_SQL: dict[str, str] = {
     "csv_errors": "SELECT * FROM (VALUES ('ragged', true), ('short', true), ('type', true), ('open', true), ('quoted', false), ('inner', false), ('one', false), ('plain', false)) AS t(name, fails)",
     "csv_inner_quotes": "SELECT p_partkey, '5\" ' || p_name AS p_name FROM part",
     "table_cache": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "catalog_tables": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'",
     "golden_result": "SELECT * FROM (VALUES ('same', true), ('reordered', true), ('wrong', false)) AS t(name, equal)",
 }
