@@ -337,9 +337,9 @@ def block_pairs(members: DataFrame, labels: DataFrame, words: DataFrame, block:
     info = own.join(labels.withColumnRenamed("node", "rep"), "rep").join(words.select("rep", "n", "bits"), "rep")
     lean = members.join(labels.withColumnRenamed("node", "rep"), "rep")
     most = lean.groupBy("value", "label").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "label")).alias("m"))
-    lean = lean.join(most.select("value", F.col("m.label").alias("major")), "value").select("value", "rep", (F.col("label") == F.col("major")).alias("main"))
+    lean = lean.join(cut(most.select("value", F.col("m.label").alias("major"))), "value").select("value", "rep", (F.col("label") == F.col("major")).alias("main"))
     sizes = lean.groupBy("value").agg(F.ceil(F.sum(F.col("main").cast("int")) / block).alias("a"), F.ceil(F.sum((~F.col("main")).cast("int")) / block).alias("b"))
-    lean = cut(lean.join(sizes, "value"))
+    lean = cut(lean.join(cut(sizes), "value"))
     # blocks 0 .. a - 1 are of the largest group, a .. a + b - 1 of the others; two of the former need not meet
     mine = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("rep"), F.greatest("b", F.lit(1).cast("long"))))
     lean = lean.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("a")).otherwise(F.lit(0).cast("long")), F.col("a") + F.col("b") - 1)))
@@ -384,9 +384,9 @@ def near_groups(documents: DataFrame) -> DataFrame:
     reps = drawn.groupBy("digest").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))
     reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # kept by the written table
     spread = reps.filter("n > 0").select("rep", F.explode("values").alias("value"))
-    # the least representative leads its bucket
+    # the least representative leads its bucket; joins by value are with written tables, so that adaptive execution can split a large bucket
     lead = spread.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_max")).filter("leader <> _max").drop("_max")
-    members = cut(spread.join(lead, "value"))
+    members = cut(spread.join(cut(lead), "value"))
     wanted = members.select("rep").distinct()
     words = cut(word_table(documents, reps.join(wanted, "rep").select("rep", "digest")))
 
@@ -410,7 +410,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     # what buckets of several groups still hold
     now = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
     mixed = now.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
-    rest = cut(members.join(mixed, "value").select("value", "rep"))
+    rest = cut(members.join(cut(mixed), "value").select("value", "rep"))
     labels = joined(cut(block_pairs(rest, labels, words)))
     named = reps.select("digest", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     ids = named.groupBy("label").agg(F.min("least").alias("group_id"))
