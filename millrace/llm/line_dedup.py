@@ -53,12 +53,16 @@ def line_table(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.posexplode(names).alias("_s", "name"))
 
 
-def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose values of `by` stand at two places or more, with `later`: not the first of these."""
+def shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """_g0, _g1 ..: the values of `by` that stand at two places or more, and _first, the first of these. A written table, so that joins with it can be split."""
     groups = rows.groupBy(*by).agg(F.min(_place()).alias("_first"), F.max(_place()).alias("_last")).filter("NOT (_first <=> _last)")
-    groups = cut(groups.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_first"))
-    on = [F.col(c) == F.col(f"_g{k}") for k, c in enumerate(by)]
-    return rows.join(groups, on).withColumn("later", ~_place().eqNullSafe(F.col("_first"))).select(*rows.columns, "later")
+    return cut(groups.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_first"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose name stands at two places or more, with `later`: not the first of these."""
+    joined = rows.join(shared(rows, ["name"]), F.col("name") == F.col("_g0"))
+    return joined.select(*rows.columns, (~_place().eqNullSafe(F.col("_first"))).alias("later"))
 
 
 def _ahead(rows: DataFrame, names: DataFrame, by: Column, how: str = "inner") -> DataFrame:
@@ -70,11 +74,11 @@ def _ahead(rows: DataFrame, names: DataFrame, by: Column, how: str = "inner") ->
 
 def doubled(documents: DataFrame, longest: int | None = None) -> list[DataFrame]:
     """For k = 0, 1, ..: the places of runs of 2^k lines that are repeated, with name and later."""
-    levels = [cut(repeated(line_table(documents), ["name"]).dropDuplicates(list(_AT)))]
+    levels = [cut(repeated(line_table(documents)).dropDuplicates(list(_AT)))]
     while longest is None or 1 << len(levels) <= longest:
         at = levels[-1].select(*_AT, "name")
         pairs = _ahead(at, at, F.lit(1 << len(levels) - 1)).select(*_AT, _name("name", "next").alias("name"))
-        found = cut(repeated(pairs, ["name"]))
+        found = cut(repeated(pairs))
         if found.isEmpty():
             break
         levels.append(found)
@@ -100,17 +104,16 @@ def previous_factors(documents: DataFrame, longest: int | None = None) -> DataFr
     for m in range(top - 1, -1, -1):
         parts = own(m + 1) if parts is None else parts.unionByName(own(m + 1))
         parts = cut(_ahead(parts, levels[m], F.col("length"), "left"))
-        split = repeated(parts.filter("next IS NOT NULL"), ["node", "next"])
-        # what stays in its interval: what no part of two takes, and the first of each part
-        moved = split.filter("later").select(*_AT, (F.col("length") + (1 << m)).alias("length"), _name("node", "next").alias("node"), "active")
-        witness = split.filter("NOT later").select(*_AT, (F.col("length") + (1 << m)).alias("length"), _name("node", "next").alias("node"), F.lit(False).alias("active"))
-        gone = split.filter("later").select(*[F.col(c).alias(f"_m{c}") for c in _AT], F.col("node").alias("_mnode"))
-        on = F.col("_d").eqNullSafe(F.col("_m_d")) & (F.col("_h") == F.col("_m_h")) & (F.col("_s") == F.col("_m_s")) & (F.col("node") == F.col("_mnode"))
-        stay = parts.drop("next").join(gone, on, "left_anti")
-        parts = cut(stay.unionByName(moved).unionByName(witness))
+        on = (F.col("node") == F.col("_g0")) & (F.col("next") == F.col("_g1"))
+        found = parts.join(shared(parts.filter("next IS NOT NULL"), ["node", "next"]), on, "left")
+        stays = F.struct("length", "node", "active")
+        goes = lambda active: F.struct((F.col("length") + (1 << m)).alias("length"), _name("node", "next").alias("node"), active.alias("active"))
+        # the first of a part of two or more stays, and goes on as its witness
+        to = F.when(F.col("_first").isNull(), F.array(stays)).when(_place().eqNullSafe(F.col("_first")), F.array(stays, goes(F.lit(False)))).otherwise(F.array(goes(F.col("active"))))
+        parts = found.select(*_AT, F.explode(to).alias("x")).select(*_AT, "x.length", "x.node", "x.active")
     out.append(own(0).filter("active").select(*_AT, "length"))
     if parts is not None:
-        out.append(parts.filter("active").select(*_AT, "length"))
+        out.append(cut(parts.filter("active").select(*_AT, "length")))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
