@@ -85,11 +85,11 @@ def mix(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, block: int = BLO
     placed = running_start(shuffled, ["source"], ["key", "doc_id", "size"], "size", "at", F.shiftright("key", 64 - cell_bits) if cell_bits else F.lit(0))
     plan = cut(schedule(targets, slots, golden))
     have = plan.groupBy("source").agg(F.count("*").alias("blocks"))
-    # the scheduled blocks of a source are the first ones of its tape
+    # the scheduled blocks of a source are the first ones of its tape; a written table of sources is broadcast if it is small, and can be split from if not
     t = targets.join(have, targets["source"].eqNullSafe(have["source"]), "left").select(
         targets["source"].alias("_s"), "source_size", "target", F.least(F.coalesce("blocks", F.lit(0)) * block, F.floor(cap * F.col("source_size"))).alias("end")
     )
-    placed = cut(placed.join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "at", "source_size", "target", "end"))
+    placed = cut(placed.join(cut(t), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "at", "source_size", "target", "end"))
     runs = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("end") / F.col("source_size")).cast("int") - 1, F.lit(0)))))
     runs = runs.withColumn("lo", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "end")).filter("hi > lo")
     runs = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
