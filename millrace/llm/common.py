@@ -75,6 +75,11 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _NEAR, _FAR = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n - 1, m, np.uint64)]) for n, m in ((1 << 12, np.uint64(0x9E3779B97F4A7C15)), (1 << 18, np.uint64(0xC2B2AE3D27D4EB4F))))
 
 
+def drop_caches() -> None:
+    """For operators that keep nothing: what an earlier one has left in a reused worker goes."""
+    _KEPT.clear()
+
+
 def string_hashes(words: pa.Array, piece: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of strings without nulls: a polynomial over the bytes of about `piece` bytes of them at once, so there is no work in Python for each."""
     if not len(words):

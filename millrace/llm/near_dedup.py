@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, free_name, word_hashes
+from millrace.llm.common import cut, drop_caches, free_name, word_hashes
 
 K, SKETCHES, SIMILARITY = 5, 64, 0.8
 #: Texts of a bucket that meet in one task.
@@ -219,6 +219,7 @@ def sketched(documents: DataFrame) -> DataFrame:
     """_id, digest of the text, n (words), values (one per hash order; none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             for part in (batch.slice(lo, 256) for lo in range(0, len(batch), 256)):
                 found = word_hashes(part["text"])
@@ -413,7 +414,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     rest = cut(members.join(cut(mixed), "value").select("value", "rep"))
     labels = joined(cut(block_pairs(rest, labels, words)))
     named = reps.select("digest", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    ids = named.groupBy("label").agg(F.min("least").alias("group_id"))
+    ids = cut(named.groupBy("label").agg(F.min("least").alias("group_id")))
     named = cut(named.join(ids, "label").select("digest", "label", "group_id"))
     blank = digest(F.lit(""))
     rows = drawn.select("_id", "digest").join(named, "digest")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, free_name, string_hashes
+from millrace.llm.common import cut, drop_caches, free_name, string_hashes
 
 TRAIN_ROWS = 12_000
 #: Tasks that read the training rows.
@@ -180,6 +180,7 @@ def fit_on(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> b
     rows = training_table(documents, labels, most).coalesce(FIT_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         table = np.zeros((ROWS, DIM))
         for batch in batches:
             add_context(batch["text"], table)
@@ -220,6 +221,7 @@ def scorer(spark: SparkSession, model: bytes):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_caches()
         net = dict(np.load(io.BytesIO(sent.value)))
         context = net["context"].astype(np.float32) if "context" in net else None
         for texts in batches:
