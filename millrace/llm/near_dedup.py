@@ -14,10 +14,11 @@ Skew: equal texts are one representative from the start (a partial aggregate). A
 paired out: first each text meets the least leader of its buckets, then, where groups still differ, all its buckets'
 leaders. The buckets that hold several groups even then (a passage that many texts share) are dealt to blocks of about BLOCK texts,
 and each two blocks meet in one task, but for those of the bucket's largest group among themselves. There a pair is left out if its lengths or
-its maps of words (a bit for each word) prove that it is not similar, and it is handed on in the first bucket that it shares; so no pairs are
-written but those to be aligned. No two texts that share a value and are similar end in different groups, whatever the
+its maps of words (a bit for each word) prove that it is not similar, and it is looked at in the first bucket that it shares. Texts with a pair that
+is left meet once more, with their words, in blocks of about INNER, and are aligned there; what is written is texts and links between groups, never pairs
+of texts, and groups that a block has linked are not aligned in it again. No two texts that share a value and are similar end in different groups, whatever the
 size of the bucket; there is no limit on rounds, candidates or partners. Pairs within a group are not searched for.
-A bucket of m groups costs m * m / 2 comparisons of bits and m / BLOCK copies of its rows.
+A bucket of m groups costs m * m / 2 comparisons of bits and m / BLOCK copies of its rows; m' texts with a pair that is left cost m' / INNER copies of theirs.
 
 Defined cases: texts without words (null, empty, marks alone) are groups of their own unless they are equal, non-empty texts; texts
 of fewer than five words have one k-mer, the whole text; rows with one doc_id and equal texts are one row
@@ -27,7 +28,7 @@ no rows; other columns are not read by the operator, and the stage passes them t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ from millrace.llm.common import cut, drop_caches, free_name, word_hashes
 K, SKETCHES, SIMILARITY = 5, 64, 0.8
 #: Texts of a bucket that meet in one task.
 BLOCK = 2048
+#: Texts that meet with their words.
+INNER = 128
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -194,19 +197,19 @@ def _in_band(n: int, b: list[int], places: dict[int, int], band: int) -> int:
 
 
 def shared_words(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words two texts have in common, repeats counted; of labelled words."""
+    """How many words two texts have in common, repeats counted; of labelled words, faster if they are sorted."""
     both = np.concatenate([a, b])
-    both.sort()
+    both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the edit similarity of two word sequences is `least` or more."""
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, marked: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Whether the edit similarity of two word sequences is `least` or more. marked: their labelled words, where they are at hand."""
     n = max(len(a), len(b))
     most = int((1 - least) * n + 1e-9)
     if n == 0 or abs(len(a) - len(b)) > most:
         return False
-    alone = n - shared_words(labelled(a), labelled(b))  # words that have no partner cost one edit each at least
+    alone = n - shared_words(*(marked or (labelled(a), labelled(b))))  # words that have no partner cost one edit each at least
     return alone <= most and banded_distance(a.tolist(), b.tolist(), most, alone) <= most
 
 
@@ -332,10 +335,25 @@ def _may_be_similar(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, np.
         yield i, np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def block_pairs(members: DataFrame, labels: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: the pairs of different groups that share a bucket (value, rep) and may be similar, each once. labels: node, label. words: rep, n, bits."""
+def _candidates(part: pd.DataFrame, known: Callable[[int, int], bool] = lambda i, j: False) -> Iterator[tuple[int, int]]:
+    """Places of the pairs of a block that are of different groups, may be similar and share no earlier bucket; without those that are known by then."""
+    value, crossed = int(part["value"].iloc[0]), int(part["low"].iloc[0]) != int(part["high"].iloc[0])
+    label, upper, own = part["label"].to_numpy(), part["upper"].to_numpy(), part["values"].to_numpy()
+    if (label == label[0]).all():
+        return
+    for i, js in _may_be_similar(part["n"].to_numpy(np.int64), part["bits"].tolist()):
+        js = js[label[js] != label[i]]
+        if crossed:
+            js = js[upper[js] != upper[i]]
+        for j in js.tolist():
+            if not known(i, j) and int(np.intersect1d(own[i], own[j], assume_unique=True)[0]) == value:
+                yield i, j
+
+
+def in_blocks(members: DataFrame, labels: DataFrame, words: DataFrame, block: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `work` makes of each two blocks of a bucket (value, rep). labels: node, label. words: rep, n, bits, which `work` gets with all other columns."""
     own = members.groupBy("rep").agg(F.sort_array(F.collect_list("value")).alias("values"))  # SKETCHES at most
-    info = own.join(labels.withColumnRenamed("node", "rep"), "rep").join(words.select("rep", "n", "bits"), "rep")
+    info = own.join(labels.withColumnRenamed("node", "rep"), "rep").join(words, "rep")
     lean = members.join(labels.withColumnRenamed("node", "rep"), "rep")
     most = lean.groupBy("value", "label").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "label")).alias("m"))
     lean = lean.join(cut(most.select("value", F.col("m.label").alias("major"))), "value").select("value", "rep", (F.col("label") == F.col("major")).alias("main"))
@@ -355,28 +373,57 @@ def block_pairs(members: DataFrame, labels: DataFrame, words: DataFrame, block:
             keys = batch[["value", "low", "high"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
             for lo, hi in zip(starts, starts[1:], strict=False):
-                yield pairs(batch.iloc[lo:hi])
+                yield work(batch.iloc[lo:hi])
             left = batch.iloc[starts[-1] :]
         if left is not None and len(left):
-            yield pairs(left)
+            yield work(left)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def block_pairs(members: DataFrame, labels: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
+    """u, v: the pairs of different groups that share a bucket (value, rep) and may be similar, each once; as many as there are. labels: node, label. words: rep, n, bits."""
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        us, vs = [], []
-        if len(part) > 1:
-            value, crossed = int(part["value"].iloc[0]), int(part["low"].iloc[0]) != int(part["high"].iloc[0])
-            rep, label, upper, own = part["rep"].to_numpy(), part["label"].to_numpy(), part["upper"].to_numpy(), part["values"].to_numpy()
-            if (label != label[0]).any():
-                for i, js in _may_be_similar(part["n"].to_numpy(np.int64), part["bits"].tolist()):
-                    js = js[label[js] != label[i]]
-                    if crossed:
-                        js = js[upper[js] != upper[i]]
-                    for j in js.tolist():
-                        if int(np.intersect1d(own[i], own[j], assume_unique=True)[0]) == value:
-                            us.append(max(rep[i], rep[j]))
-                            vs.append(min(rep[i], rep[j]))
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
-
-    return dealt.mapInPandas(run, "u long, v long")
+        rep = part["rep"].to_numpy()
+        found = [(max(rep[i], rep[j]), min(rep[i], rep[j])) for i, j in _candidates(part)]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    return in_blocks(members, labels, words.select("rep", "n", "bits"), block, pairs, "u long, v long")
+
+
+def block_links(members: DataFrame, labels: DataFrame, words: DataFrame, block: int = BLOCK, inner: int = INNER) -> DataFrame:
+    """u, v: groups that similar texts of a common bucket (value, rep) link, of each two blocks no more than join their groups. words: rep, n, words, bits.
+
+    First maps alone meet, and a text comes back, once a bucket, if it has a partner that may be similar. Those texts meet again, with their words,
+    and are aligned there, but for pairs whose groups the block has linked by then. No pair is written.
+    """
+
+    def partnered(part: pd.DataFrame) -> pd.DataFrame:
+        some = np.zeros(len(part), bool)
+        for i, j in _candidates(part, lambda i, j: some[i] and some[j]):
+            some[i] = some[j] = True
+        return part.loc[some, ["value", "rep"]]
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        label, found = part["label"].tolist(), []
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in top:
+                top[x] = x = top.get(top[x], top[x])
+            return x
+
+        text = [np.frombuffer(x, "<u4").astype(np.uint64) for x in part["words"]]
+        marked = [np.sort(labelled(x)) for x in text]
+        for i, j in _candidates(part, lambda i, j: root(label[i]) == root(label[j])):
+            if similar(text[i], text[j], SIMILARITY, (marked[i], marked[j])):
+                top[root(label[i])] = root(label[j])
+                found.append((label[i], label[j]))
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    met = cut(in_blocks(members, labels, words.select("rep", "n", "bits"), block, partnered, "value long, rep long").distinct())
+    return in_blocks(met, labels, words, inner, links, "u long, v long")
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
@@ -412,7 +459,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     now = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
     mixed = now.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
     rest = cut(members.join(cut(mixed), "value").select("value", "rep"))
-    labels = joined(cut(block_pairs(rest, labels, words)))
+    labels = cut(relabelled(labels, components(cut(block_links(rest, labels, words)))))
     named = reps.select("digest", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     ids = cut(named.groupBy("label").agg(F.min("least").alias("group_id")))
     named = cut(named.join(ids, "label").select("digest", "label", "group_id"))

@@ -128,6 +128,36 @@ def test_one_near_pair_in_each_of_many_groups_of_a_large_bucket(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("inner", [128, 16])
+def test_groups_of_one_bucket_are_linked_without_a_row_for_each_pair(spark, inner, monkeypatch):
+    rng = random.Random(14)
+    base, texts = prose(rng, 120), []
+    for k in range(160):  # near copies of one text, of which every tenth is not similar enough, and texts of their own
+        copy = list(base) if k % 8 else prose(rng, 120)
+        for at in rng.sample(range(120), 26 if k % 10 == 0 else 4):
+            copy[at] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    words = [w >> np.uint64(32) for w in words_of(texts)]
+    made = [(i, len(w), bytearray(w.astype("<u4").tobytes()), bytearray(near_dedup.word_bits(w).tobytes())) for i, w in enumerate(words)]
+    table = spark.createDataFrame(made, "rep long, n int, words binary, bits binary")
+    group = [i % 2 if i % 8 and i % 10 else i for i in range(len(texts))]
+    labels = spark.createDataFrame(list(enumerate(group)), "node long, label long")
+    members = spark.createDataFrame([(v, i) for i in range(len(texts)) for v in (3, 4 + i % 3)], "value long, rep long").repartition(3)
+    got = near_dedup.block_links(members, labels, table, 64, inner).collect()
+    links, both, pairs = {(r.u, r.v) for r in got}, [list(range(len(texts))) for _ in range(2)], 0
+    alike = [(group[i], group[j]) for i in range(len(texts)) for j in range(i) if group[i] != group[j] and near_dedup.similar(words[i], words[j])]
+    for up, linked in zip(both, (links, alike), strict=True):
+        for u, v in linked:
+            a, b = sorted((up[u], up[v]))
+            up[:] = [a if x == b else x for x in up]
+    assert both[0] == both[1] and len(alike) > 3000 and len(got) < 4 * (160 // inner + 1) ** 2
+    # the whole operator hands no more pairs on than each text has values
+    seen, verified = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, words: seen.append(pairs.columns) or verified(pairs, words))
+    found = {r.doc_id: r.group_id for r in near_dedup.grouped_documents(frame(spark, texts)).collect()}
+    assert len(seen) == 2 and found[2] == found[1] == found[3]
+
+
 def test_sketches_reach_the_edit_similarity_of_the_relation():
     rng = np.random.default_rng(6)
     for similarity, share in ((0.95, 1.0), (0.9, 0.99), (0.85, 0.96), (0.8, 0.85)):
