@@ -43,6 +43,8 @@ K, SKETCHES, SIMILARITY = 5, 64, 0.8
 BLOCK = 2048
 #: Texts that meet with their words.
 INNER = 128
+#: Rows with texts or words that go to Python at a time.
+ROWS = 1024
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -248,6 +250,7 @@ def word_table(documents: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, n, words (their 32-bit hashes), bits, of the representatives (rep, digest). One text of each digest is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             for part in (batch.slice(lo, 256) for lo in range(0, len(batch), 256)):
                 words = [w >> np.uint64(32) for w in word_hashes(part["text"])]
@@ -264,6 +267,7 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     v = words.select(F.col("rep").alias("v"), F.col("words").alias("words_v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         of = lambda x: np.frombuffer(x, "<u4").astype(np.uint64)
         for batch in batches:
             ok = [similar(of(a), of(b)) for a, b in zip(batch["words_u"], batch["words_v"], strict=True)]
@@ -367,6 +371,7 @@ def in_blocks(members: DataFrame, labels: DataFrame, words: DataFrame, block: in
     dealt = lean.join(info, "rep").repartition("value", "low", "high").sortWithinPartitions("value", "low", "high", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_caches()
         left = None
         for batch in batches:
             batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
@@ -422,13 +427,13 @@ def block_links(members: DataFrame, labels: DataFrame, words: DataFrame, block:
                 found.append((label[i], label[j]))
         return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["u", "v"])
 
-    met = cut(in_blocks(members, labels, words.select("rep", "n", "bits"), block, partnered, "value long, rep long").distinct())
+    met = cut(in_blocks(members, labels, words.select("rep", "n", "bits"), block, partnered, "value long, rep long").distinct(), ROWS)
     return in_blocks(met, labels, words, inner, links, "u long, v long")
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
     """One row per row of documents (doc_id, text digest): doc_id, group_id (the least doc_id of the group), digest, label (one per group, also where ids are null)."""
-    drawn = cut(sketched(documents))
+    drawn = cut(sketched(documents), ROWS)
     reps = drawn.groupBy("digest").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))
     reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # kept by the written table
     spread = reps.filter("n > 0").select("rep", F.explode("values").alias("value"))
@@ -436,12 +441,12 @@ def near_groups(documents: DataFrame) -> DataFrame:
     lead = spread.groupBy("value").agg(F.min("rep").alias("leader"), F.max("rep").alias("_max")).filter("leader <> _max").drop("_max")
     members = cut(spread.join(cut(lead), "value"))
     wanted = members.select("rep").distinct()
-    words = cut(word_table(documents, reps.join(wanted, "rep").select("rep", "digest")))
+    words = cut(word_table(documents, reps.join(wanted, "rep").select("rep", "digest")), ROWS)
 
     star = members.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     tried = star.groupBy("u").agg(F.min("v").alias("v"))
     nodes = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    labels = cut(relabelled(nodes, components(cut(verified(tried, words)))))
+    labels = cut(relabelled(nodes, components(cut(verified(tried, words), ROWS))))
 
     def grouped(pairs: DataFrame) -> DataFrame:
         """The pairs of different groups, with their groups lu, lv."""
@@ -450,7 +455,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The groups after the pairs are verified."""
-        found = grouped(verified(pairs, words)).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        found = grouped(cut(verified(pairs, words), ROWS)).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
         return cut(relabelled(labels, components(found)))
 
     # the other leaders, which join most groups
@@ -459,7 +464,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     now = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep")
     mixed = now.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("value")
     rest = cut(members.join(cut(mixed), "value").select("value", "rep"))
-    labels = cut(relabelled(labels, components(cut(block_links(rest, labels, words)))))
+    labels = cut(relabelled(labels, components(cut(block_links(rest, labels, words), ROWS))))
     named = reps.select("digest", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     ids = cut(named.groupBy("label").agg(F.min("least").alias("group_id")))
     named = cut(named.join(ids, "label").select("digest", "label", "group_id"))

@@ -158,6 +158,18 @@ def test_groups_of_one_bucket_are_linked_without_a_row_for_each_pair(spark, inne
     assert len(seen) == 2 and found[2] == found[1] == found[3]
 
 
+def test_batches_for_python_are_small_only_while_a_table_is_cut(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    cut = common.cut(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long"), 1024)
+    assert sorted(r.n for r in cut.collect()) == [904, 1024, 1024, 1024, 1024] and spark.conf.get(key) == before
+
+
 def test_sketches_reach_the_edit_similarity_of_the_relation():
     rng = np.random.default_rng(6)
     for similarity, share in ((0.95, 1.0), (0.9, 0.99), (0.85, 0.96), (0.8, 0.85)):
