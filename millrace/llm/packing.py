@@ -80,15 +80,18 @@ class WordTokenizer:
             self.stems.update((s, self._whole(s)) for s in stems)
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = []
-        for w in words:
-            s = w.decode(errors="replace")
+        plain, odd = [], []
+        for w, s in zip(words, b" ".join(words).decode(errors="replace").split(" "), strict=True):
             mark = s[-1] if s[-1] in ".,;:|!?" else ""
             stem = s[:-1] if mark else s
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem):
                 plain.append((w, stem.lower(), mark))
             else:
-                self.kept[w] = self._whole(s)
+                odd.append((w, s))
+        for lo in range(0, len(odd), 1024):
+            part = odd[lo : lo + 1024]
+            for (w, _), got in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+                self.kept[w] = np.array(got.ids, "<u4").tobytes()
         new = {stem for _, stem, _ in plain if stem not in self.stems}
         if len(self.stems) + len(new) > self.most:
             self.stems.clear()
@@ -98,26 +101,36 @@ class WordTokenizer:
         for w, stem, mark in plain:
             self.kept[w] = self.stems[stem] + self.marks[mark]
 
-    def encode(self, contents: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for content in contents:
-            words = content.split()
-            new = {w for w in words if w not in self.kept}
-            if len(self.kept) + len(new) > self.most:
-                self.kept, self.old = {}, self.kept
-                new = set(words)
-            if len(new) > self.most:  # more different words in one text than may be kept
-                out.append(self._whole(content.decode(errors="replace")))
-                continue
-            if new:
-                known = new & self.old.keys()
-                self.kept.update((w, self.old[w]) for w in known)
-                if len(known) < len(new):
-                    self._learn(sorted(new - known))
-            out.append(b"".join(map(self.kept.__getitem__, words)))
+    def encode(self, contents: list[bytes], together: int = 1 << 18) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers. The new words of texts of `together` bytes in all, or of one longer text, are learnt at once."""
+        out, lo = [], 0
+        while lo < len(contents):
+            hi, total = lo + 1, len(contents[lo])
+            while hi < len(contents) and total + len(contents[hi]) <= together:
+                total += len(contents[hi])
+                hi += 1
+            out += self._encode([c.split() for c in contents[lo:hi]], contents[lo:hi])
+            lo = hi
         return out
 
+    def _encode(self, split: list[list[bytes]], contents: list[bytes]) -> list[bytes]:
+        kept = self.kept
+        new = {w for words in split for w in words if w not in kept}
+        if len(self.kept) + len(new) > self.most:
+            self.kept, self.old = {}, self.kept
+            new = set().union(*split)
+        if len(new) > self.most:  # more different words than may be kept
+            if len(contents) > 1:
+                return [x for s, c in zip(split, contents, strict=True) for x in self._encode([s], [c])]
+            return [self._whole(contents[0].decode(errors="replace"))]
+        if new:
+            known = new & self.old.keys()
+            self.kept.update((w, self.old[w]) for w in known)
+            if len(known) < len(new):
+                self._learn(sorted(new - known))
+        ids = self.kept.__getitem__
+        return [b"".join(map(ids, s)) for s in split]
+
 
 class Piece:
     """What is left of one document: ids from `at` on are not placed yet; those from `prompt` on bear loss."""

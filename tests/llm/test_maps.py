@@ -177,3 +177,15 @@ def test_word_tokenizer_equals_the_library():
     t = packing.WordTokenizer(path, most=9)  # words go and come back
     for text in (*TEXTS, " ".join(words), *words):
         assert np.frombuffer(t.encode([(text or "").encode()])[0], "<u4").tolist() + [2] == brute_ids(text), repr(text)[:60]
+
+
+def test_new_words_of_small_texts_are_learnt_at_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"Word{k}, plain{'abcdefgh'[k % 8] * (k % 5)} don't-{k} ñandú. x{k}’s �".encode() + b" \xff\xe2\x80" * (k % 2) for k in range(40)]
+    alone = [packing.WordTokenizer(path).encode([t])[0] for t in texts[:6]]
+    calls, learn = [], packing.WordTokenizer._learn
+    monkeypatch.setattr(packing.WordTokenizer, "_learn", lambda self, words: calls.append(len(words)) or learn(self, words))
+    together = packing.WordTokenizer(path).encode(texts)
+    assert len(calls) == 1 and together[:6] == alone
+    # few words may be kept: texts one by one, or whole
+    assert packing.WordTokenizer(path, 8).encode(texts) == packing.WordTokenizer(path, 3).encode(texts) == together
