@@ -1,7 +1,14 @@
-"""The plan algebra: scans and inner equi-joins with free projection by position, compiled to one lazy DataFrame."""
+"""The plan algebra: scans and inner equi-joins with free projection by position, compiled to one lazy DataFrame.
+
+A join whose keys repeat on both sides returns far more rows than it reads, but Spark cuts tasks by the bytes that are read: a file of a few MB
+is one task, however many rows it meets. So where two sides could make MANY_PAIRS rows, the rows that the join returns are counted from the
+numbers of rows of each key (linear, nothing is multiplied), and if these are many, the larger side is dealt evenly to tasks of TASK_ROWS
+rows of the result; the smaller one is broadcast. Neither side's rows of one key meet in one task.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: A shuffled hash join keeps a partition of its build side in memory: at most so many bytes of it are hinted for.
 HASHED_PARTITION = 64 << 20
+#: Sides of fewer pairs of rows (as estimated) are joined as they are; a counted join is spread from this many rows on.
+MANY_PAIRS = 10_000_000
+#: Rows of a spread join's result in a task.
+TASK_ROWS = 10_000_000
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -27,6 +38,29 @@ def as_build_side(df: DataFrame) -> DataFrame:
     return df.hint("SHUFFLE_HASH") if small < plan_bytes(df) <= fits else df
 
 
+def row_bytes(df: DataFrame) -> int:
+    """What a row of a hashed table takes, about."""
+    return 32 + df._jdf.schema().defaultSize()
+
+
+def many_rows(build: DataFrame, stream: DataFrame, keys: list[tuple[str, str]]) -> int:
+    """How many rows the join returns, where it is MANY_PAIRS at least, build's keys repeat and build fits in a broadcast; else 0."""
+    named = build.select(*[F.col(b).alias(f"_k{k}") for k, (b, _) in enumerate(keys)]).dropna()
+    counts = named.groupBy(*named.columns).agg(F.count("*").alias("_n"))
+    most, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) < 2 or rows * row_bytes(build) > HASHED_PARTITION:
+        return 0
+    on = [F.col(s) == F.col(f"_k{k}") for k, (_, s) in enumerate(keys)]
+    found = stream.join(counts, on).agg(F.sum("_n"), F.count("*")).first()
+    return int(found[0]) if found[0] and found[0] >= max(MANY_PAIRS, 2 * found[1]) else 0
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Dealt evenly to tasks, of a join that returns so many rows."""
+    busy = min(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / 1e6))
+    return df.repartition(max(busy, math.ceil(rows / TASK_ROWS)))
+
+
 @dataclass(frozen=True)
 class Scan:
     base: int
@@ -69,17 +103,32 @@ class Plan:
     def to_dataframe(self, names: list[str] | None = None, honour_build: bool = False) -> DataFrame:
         """Columns have unique positional names on the way. honour_build: hint the build side where its size calls for it; else statistics decide at run time."""
         built: dict[int, DataFrame] = {}
+        rows: dict[int, float] = {}  # as estimated; keys are taken to be unique on one side where nothing was counted
+        dealt: set[int] = set()
         for i, node in enumerate(self.nodes):  # children come before parents
             if isinstance(node, Scan):
                 df = self.inputs[node.base]
                 cols = [F.col(f"`{df.columns[k]}`") for k in node.outputs]
+                few = df.select(*cols)
+                rows[i] = plan_bytes(few) / (8 + few._jdf.schema().defaultSize())
             else:
                 l, r = built[node.left], built[node.right]
                 lc, rc = [f"n{node.left}_c{k}" for k in range(len(l.columns))], [f"n{node.right}_c{k}" for k in range(len(r.columns))]
                 if node.left == node.right:
                     rc = [f"{c}_r" for c in rc]
                     r = r.toDF(*rc)
-                if honour_build and node.build_left is not None:
+                swap = rows[node.left] * row_bytes(l) < rows[node.right] * row_bytes(r)
+                build, stream, at = (l, r, (node.left, node.right)) if swap else (r, l, (node.right, node.left))
+                many = 0
+                # a side dealt out before has its tasks; one that is too large for a broadcast stays with Spark's own joins
+                if not dealt & {*at} and rows[at[0]] * row_bytes(build) <= HASHED_PARTITION and rows[at[0]] * rows[at[1]] >= MANY_PAIRS:
+                    many = many_rows(build, stream, [(lc[a], rc[b]) if swap else (rc[b], lc[a]) for a, b in node.keys])
+                rows[i] = many or max(rows[node.left], rows[node.right])
+                if many or dealt & {*at}:
+                    dealt.add(i)
+                if many:
+                    l, r = (F.broadcast(l), spread(r, many)) if swap else (spread(l, many), F.broadcast(r))
+                elif honour_build and node.build_left is not None:
                     l, r = (as_build_side(l), r) if node.build_left else (l, as_build_side(r))
                 on = F.lit(True)
                 for k, (a, b) in enumerate(node.keys):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace import runner
 from millrace.operators.predicates import Compare
 from millrace.plans import pgplan, sqlfront
+from millrace.plans import plan as plan_module
 from millrace.plans.plan import Plan
 from millrace.plans.verify import golden, phases, same_bag, timed
 from millrace.sources.catalog import Catalog, movie_tables
@@ -223,3 +224,35 @@ def test_runner_from_text_files_to_checked_rows(spark, tmp_path, capsys):
     assert runner.main([*args, "q3"]) == 1 and not (tmp_path / "times.json").exists()
     assert runner.main([*args, "q1", "q2"]) == 0 and set(json.loads((tmp_path / "times.json").read_text())) == {"q1", "q2"}
     assert "q1 correct" in capsys.readouterr().out
+
+
+MULTIPLIED = {
+    "class": ("s.id, c.id", "s, c, n WHERE s.k = c.k AND c.k = n.k AND s.k = n.k"),
+}
+
+
+@pytest.mark.parametrize("case", MULTIPLIED)
+def test_joins_that_multiply_rows_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch, case):
+    """A small file is one task to Spark, however many rows its rows meet."""
+    monkeypatch.setattr(plan_module, "MANY_PAIRS", 1000)
+    monkeypatch.setattr(plan_module, "TASK_ROWS", 5000)
+    tables = {}
+    for name, size in {"s": 120, "c": 3000, "n": 6}.items():
+        spark.range(size).selectExpr("id", "cast(nullif(id % 6, 4) as int) k").coalesce(1).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    select, rest = MULTIPLIED[case]
+    pairs = 5 * 20 * 500
+    got = sqlfront.run(f"SELECT {select} FROM {rest}", tables, ["a", "b"])
+    tasks = [len(x) for x in got.rdd.glom().collect()]
+    assert len(tasks) >= pairs // 5000 and max(tasks) < 2 * pairs / len(tasks)
+    assert got.count() == got.distinct().count() == pairs
+    assert got.filter("a % 6 <> b % 6 OR a % 6 = 4").isEmpty()
+
+
+def test_joins_with_a_unique_key_are_left_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan_module, "MANY_PAIRS", 1000)
+    spark.range(3000).selectExpr("id", "id % 120 k").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    got = sqlfront.run("SELECT c.id FROM s, c WHERE s.id = c.k", {"s": t, "c": t}, ["a"])
+    assert "REPARTITION_BY_NUM" not in got._jdf.queryExecution().toString()
+    assert got.count() == 3000
