@@ -228,6 +228,8 @@ def test_runner_from_text_files_to_checked_rows(spark, tmp_path, capsys):
 
 MULTIPLIED = {
     "class": ("s.id, c.id", "s, c, n WHERE s.k = c.k AND c.k = n.k AND s.k = n.k"),
+    "pair": ("s.id, c.id", "s, c WHERE s.k = c.k"),
+    "turned": ("s.id, c.id", "c, s WHERE c.k = s.k"),
 }
 
 
