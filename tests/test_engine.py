@@ -258,3 +258,15 @@ def test_joins_with_a_unique_key_are_left_alone(spark, tmp_path, monkeypatch):
     got = sqlfront.run("SELECT c.id FROM s, c WHERE s.id = c.k", {"s": t, "c": t}, ["a"])
     assert "REPARTITION_BY_NUM" not in got._jdf.queryExecution().toString()
     assert got.count() == 3000
+
+
+def test_rows_without_a_key_are_not_counted_as_pairs(spark, monkeypatch):
+    """Two sides of which nearly all keys are NULL make few rows, so nothing is dealt out; with keys for a third of the rows it is."""
+    monkeypatch.setattr(plan_module, "MANY_PAIRS", 20_000)
+    monkeypatch.setattr(plan_module, "TASK_ROWS", 10_000)
+    for every, rows in ((1000, 3), (3, 1000 * 100)):
+        t = {n: spark.range(size).selectExpr("id", f"if(id % {every} = 0, 7, NULL) k").coalesce(1) for n, size in (("s", 300), ("c", 3000))}
+        got = sqlfront.run("SELECT s.id, c.id FROM s, c WHERE s.k = c.k", t, ["a", "b"])
+        assert ("REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()) == (rows > 20_000)
+        assert got.count() == rows
+        assert rows < 20_000 or got.rdd.getNumPartitions() >= rows // 10_000
