@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import cut
-from millrace.llm.mixing import words_in
 
 MIN_WORDS = 6
 _AT = ("_d", "_h", "_s")
@@ -46,9 +45,14 @@ def _place() -> Column:
     return F.struct(*_AT)
 
 
+def has_words(text: Column) -> Column:
+    """words_in(text) > 0, by a look at the text up to its first character that is no white space."""
+    return text.rlike("[^ \t\n\x0b\x0c\r]")
+
+
 def line_table(documents: DataFrame) -> DataFrame:
     """Every line with words: document (_d, _h), place among these lines (_s), name."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: words_in(x) > 0)
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_words)
     names = F.transform(lines, lambda x: _name(x))
     return documents.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.posexplode(names).alias("_s", "name"))
 
@@ -159,5 +163,5 @@ def deduped_documents(documents: DataFrame, longest: int | None = None) -> DataF
 
 def line_stage(documents: DataFrame) -> DataFrame:
     """Documents without later copies, with the columns of documents; those of which no word is left go."""
-    out = dedup_lines(documents).filter((F.col("new.n_deleted") == 0) | (words_in(F.col("new.text")) > 0))
+    out = dedup_lines(documents).filter((F.col("new.n_deleted") == 0) | has_words(F.col("new.text")))
     return out.select(*[F.col("new.text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

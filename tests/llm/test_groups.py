@@ -229,6 +229,15 @@ def test_near_groups_of_nothing(spark):
     assert near_dedup.grouped_documents(frame(spark, [])).count() == 0
 
 
+def test_lines_with_words_are_told_by_their_first_character(spark):
+    lines = ["", " ", "a", " a", "\t\x0b\x0c\r ", "\u00a0", "\u2028 ", "\x00", " \x1c", "\U0001f642", "x\r", "\r\rx", "  \t\x85", ". ", "\ud7ff"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").repartition(2)
+    assert df.filter(line_dedup.has_words(F.col("x")) != (mixing.words_in(F.col("x")) > 0)).isEmpty()
+    assert df.filter(line_dedup.has_words(F.col("x"))).count() == sum(bool(x.encode().split()) for x in lines)
+    plan = line_dedup.line_table(frame(spark, ["a b\n\nc", None]))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1  # into lines; these are not parted into words
+
+
 def slow_lines(texts, least=line_dedup.MIN_WORDS):
     """Every line with words against every earlier one: runs along both, whole."""
     lines = [(t or "").split("\n") for t in texts]
