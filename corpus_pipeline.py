@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import remove, shared_dir
+from millrace.llm.common import arrow_rows, limit_arrow_rows, remove, shared_dir
 from millrace.llm.line_dedup import line_stage
 from millrace.llm.mixing import mix_stage
 from millrace.llm.near_dedup import near_stage
@@ -22,6 +22,9 @@ from millrace.llm.quality import quality_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: An executor that all stages have run on has little room left beside its heap: rows that Python gets at a time, and words that the tokenizer of a worker keeps.
+PYTHON_ROWS, WORDS = 1024, 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
@@ -45,10 +48,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return packed_documents(docs)
+    return packed_documents(docs, words=WORDS)
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, and from then on the session sends Python PYTHON_ROWS rows at a time, as the caller runs what a stage returns."""
+
+    def small(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        limit_arrow_rows(spark, PYTHON_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return small
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near_copies), ("mix_sources", mix), ("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    (name, in_small_batches(stage))
+    for name, stage in (("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near_copies), ("mix_sources", mix), ("pack", pack))
+]
 
 #: The network, the tokenizer and the packing heuristic are not SQL; tests hold each stage's rows against brute force on its own input.
 ORACLE_SQL = None
@@ -61,10 +77,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        if k:
-            remove(spark, f"{base}/{k - 1}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    with arrow_rows(spark, PYTHON_ROWS):
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+            if k:
+                remove(spark, f"{base}/{k - 1}")
+            docs = spark.read.parquet(f"{base}/{k}")
     remove(spark, base, at_exit=True)
     return docs

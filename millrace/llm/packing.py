@@ -60,8 +60,8 @@ class WordTokenizer:
         self.shown = {b: (b if b in shown else 256 + n) for n, b in ((sum(x not in shown for x in range(b)), b) for b in range(256))}
 
     @classmethod
-    def open(cls, path: str) -> WordTokenizer:
-        return worker_cache(f"tokenizer {path}", lambda: cls(path))
+    def open(cls, path: str, most: int = 250_000) -> WordTokenizer:
+        return worker_cache(f"tokenizer {path} {most}", lambda: cls(path, most))
 
     def _whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -211,15 +211,15 @@ def pack_window(pieces: list[Piece], capacity: np.ndarray, number: Iterator[int]
 
 def pack(
     docs: DataFrame, id_col: str, content: Column, tokenizer: str, eos: int, size: int = 4096, max_segments: int = 64, max_loss: int | None = None,
-    prompt_tokens: Column | None = None, window_rows: int = 512, window_bytes: int = 32 << 20, with_ids: bool = True,
+    prompt_tokens: Column | None = None, window_rows: int = 512, window_bytes: int = 32 << 20, with_ids: bool = True, words: int = 250_000,
 ) -> DataFrame:
-    """One row per piece of a document. ids: the piece's ids, little-endian unsigned 32-bit (null unless with_ids), and their ids_crc32. Ids from prompt_tokens on bear loss. size: a power of two."""
+    """One row per piece of a document. ids: the piece's ids, little-endian unsigned 32-bit (null unless with_ids), and their ids_crc32. Ids from prompt_tokens on bear loss. size: a power of two. words: the most that a worker's tokenizer keeps."""
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     capacity = np.array([size, max_segments, max_loss or size])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, close = WordTokenizer.open(tokenizer), np.array([eos], "<u4").tobytes()
+        known, close = WordTokenizer.open(tokenizer, words), np.array([eos], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         number = (base | k for k in count())
         held: list[Piece] = []
@@ -246,9 +246,9 @@ def pack(
 MAX_SEGMENTS, MAX_LOSS = 64, 4096
 
 
-def packed_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def packed_documents(documents: DataFrame, tokenizer: str | None = None, words: int = 250_000) -> DataFrame:
     """The rows that op2 and the pipeline's last stage return."""
     import public_tokenizers
 
-    out = pack(documents, "doc_id", F.col("text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, 4096, MAX_SEGMENTS, MAX_LOSS, with_ids=False)
+    out = pack(documents, "doc_id", F.col("text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, 4096, MAX_SEGMENTS, MAX_LOSS, with_ids=False, words=words)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("loss").alias("loss_tokens"))

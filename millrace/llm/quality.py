@@ -226,6 +226,7 @@ def scorer(spark: SparkSession, model: bytes):
         context = net["context"].astype(np.float32) if "context" in net else None
         for texts in batches:
             yield pa.array(probability(texts, net, context), pa.float64())
+        drop_caches()  # the worker waits for other operators
 
     return score
 

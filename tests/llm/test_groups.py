@@ -807,6 +807,27 @@ def test_stages_against_brute_force_on_their_own_input(spark, tmp_path):
             assert Counter(r.doc_tokens for r in out if r.start == 0) == Counter(ids)
 
 
+def test_pipeline_stages_send_python_small_batches(spark, monkeypatch):
+    """The caller runs what a stage returns, so the bound holds when the stage has returned; the whole pipeline puts it back."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, sf = spark.conf.get(key), [], "/root/testdata/sf0.001"
+    kept: list[int] = []
+    monkeypatch.setattr(corpus_pipeline, "packed_documents", lambda docs, words: kept.append(words) or docs)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        stage = dict(corpus_pipeline.STAGES)["pack"]
+        assert int(before) > 1024 and stage(spark, docs, sf) is docs
+        assert spark.conf.get(key) == "1024" and kept == [100_000]
+    finally:
+        spark.conf.set(key, before)
+    look = lambda s, d, _: seen.append(spark.conf.get(key)) or d
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", look), ("b", look)])
+    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    assert seen == ["1024", "1024"] and spark.conf.get(key) == before
+
+
 def test_pipeline_keeps_columns_and_all_ids(spark):
     import corpus_pipeline
 
