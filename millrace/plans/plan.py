@@ -3,7 +3,7 @@
 A join whose keys repeat on both sides returns far more rows than it reads, but Spark cuts tasks by the bytes that are read: a file of a few MB
 is one task, however many rows it meets. So where two sides could make MANY_PAIRS rows, the rows that the join returns are counted from the
 numbers of rows of each key (linear, nothing is multiplied), and if these are many, the larger side is dealt evenly to tasks of TASK_ROWS
-rows of the result; the smaller one is broadcast. Neither side's rows of one key meet in one task.
+rows of the result; the smaller one is broadcast, its rows of one key as one array. Neither side's rows of one key meet in one task.
 """
 
 from __future__ import annotations
@@ -43,9 +43,16 @@ def row_bytes(df: DataFrame) -> int:
     return 32 + df._jdf.schema().defaultSize()
 
 
+def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of which no key is NULL. NaN is a key (dropna takes it for NULL)."""
+    for c in keys:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def many_rows(build: DataFrame, stream: DataFrame, keys: list[tuple[str, str]]) -> int:
     """How many rows the join returns, where it is MANY_PAIRS at least, build's keys repeat and build fits in a broadcast; else 0."""
-    named = build.select(*[F.col(b).alias(f"_k{k}") for k, (b, _) in enumerate(keys)]).dropna()
+    named = with_keys(build, [b for b, _ in keys]).select(*[F.col(b).alias(f"_k{k}") for k, (b, _) in enumerate(keys)])
     counts = named.groupBy(*named.columns).agg(F.count("*").alias("_n"))
     most, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
     if (most or 0) < 2 or rows * row_bytes(build) > HASHED_PARTITION:
@@ -61,6 +68,19 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(busy, math.ceil(rows / TASK_ROWS)))
 
 
+def multiplied(build: DataFrame, stream: DataFrame, keys: list[tuple[str, str]], wanted: list[str], rows: int) -> DataFrame:
+    """The inner join of so many rows, with the columns of stream and those wanted of build. A row of stream is looked up once, and its partners are read off an array for each column."""
+    members = with_keys(build, [b for b, _ in keys]).groupBy(*[F.col(b).alias(f"_k{k}") for k, (b, _) in enumerate(keys)]).agg(F.collect_list(F.struct(*wanted)).alias("_rows"))
+    members = members.select(*[F.col(f"_k{k}") for k in range(len(keys))], *[F.col(f"_rows.{c}").alias(f"_a_{c}") for c in wanted])
+    on = [F.col(s) == F.col(f"_k{k}") for k, (_, s) in enumerate(keys)]
+    met = spread(stream, rows).join(F.broadcast(members), on)
+    first, *more = wanted
+    if not more:
+        return met.select(*stream.columns, F.explode(f"_a_{first}").alias(first))
+    met = met.select(*stream.columns, *[f"_a_{c}" for c in more], F.posexplode(f"_a_{first}").alias("_at", first))
+    return met.select(*stream.columns, first, *[F.get(f"_a_{c}", F.col("_at")).alias(c) for c in more])
+
+
 @dataclass(frozen=True)
 class Scan:
     base: int
@@ -119,22 +139,25 @@ class Plan:
                     r = r.toDF(*rc)
                 swap = rows[node.left] * row_bytes(l) < rows[node.right] * row_bytes(r)
                 build, stream, at = (l, r, (node.left, node.right)) if swap else (r, l, (node.right, node.left))
+                pairs = [(lc[a], rc[b]) if swap else (rc[b], lc[a]) for a, b in node.keys]
                 many = 0
                 # a side dealt out before has its tasks; one that is too large for a broadcast stays with Spark's own joins
                 if not dealt & {*at} and rows[at[0]] * row_bytes(build) <= HASHED_PARTITION and rows[at[0]] * rows[at[1]] >= MANY_PAIRS:
-                    many = many_rows(build, stream, [(lc[a], rc[b]) if swap else (rc[b], lc[a]) for a, b in node.keys])
+                    many = many_rows(build, stream, pairs)
                 rows[i] = many or max(rows[node.left], rows[node.right])
                 if many or dealt & {*at}:
                     dealt.add(i)
                 if many:
-                    l, r = (F.broadcast(l), spread(r, many)) if swap else (spread(l, many), F.broadcast(r))
-                elif honour_build and node.build_left is not None:
-                    l, r = (as_build_side(l), r) if node.build_left else (l, as_build_side(r))
-                on = F.lit(True)
-                for k, (a, b) in enumerate(node.keys):
-                    same = F.col(lc[a]) == F.col(rc[b])
-                    on = same if k == 0 else on & same
-                df = l.join(r, on, "inner")
+                    returned = {(lc + rc)[k] for k in node.outputs}
+                    df = multiplied(build, stream, pairs, [c for c in build.columns if c in returned] or build.columns[:1], many)
+                else:
+                    if honour_build and node.build_left is not None:
+                        l, r = (as_build_side(l), r) if node.build_left else (l, as_build_side(r))
+                    on = F.lit(True)
+                    for k, (a, b) in enumerate(node.keys):
+                        same = F.col(lc[a]) == F.col(rc[b])
+                        on = same if k == 0 else on & same
+                    df = l.join(r, on, "inner")
                 cols = [F.col((lc + rc)[k]) for k in node.outputs]
             built[i] = df.select(*[c.alias(f"n{i}_c{k}") for k, c in enumerate(cols)])
         out = built[self.root]

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +252,23 @@ def test_joins_that_multiply_rows_are_dealt_to_many_tasks(spark, tmp_path, monke
     assert got.filter("a % 6 <> b % 6 OR a % 6 = 4").isEmpty()
 
 
+def test_multiplied_rows_are_read_off_arrays_and_none_is_lost(spark, monkeypatch):
+    """NULLs besides the key, repeated rows, zeros of both signs and NaN as keys: as Spark's own join has them."""
+    monkeypatch.setattr(plan_module, "MANY_PAIRS", 1000)
+    monkeypatch.setattr(plan_module, "TASK_ROWS", 5000)
+    key = "case id % 4 when 0 then -0.0d when 1 then 0.0d when 2 then double('NaN') end"
+    t = {n: spark.range(size).selectExpr("nullif(id % 10, 3) v", f"{key} k", "id div 20 % 2 j") for n, size in (("s", 40), ("c", 400))}
+    got = sqlfront.run("SELECT s.v, s.k, c.v, c.k FROM s, c WHERE s.k = c.k AND s.j = c.j", t, ["a", "b", "x", "y"])
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate posexplode" in plan and "REPARTITION_BY_NUM" in plan
+    want = t["s"].toDF("a", "b", "j").join(t["c"].toDF("x", "y", "i"), F.expr("b = y AND i = j")).select("a", "b", "x", "y")
+    rows = lambda df: Counter(map(repr, df.collect()))
+    assert rows(got) == rows(want) and got.count() == 2 * (10 * 100 + 5 * 50)
+    for cols in (["a", "x"], ["x"]):  # one column of the broadcast side, and none
+        few = sqlfront.run(f"SELECT {', '.join({'a': 's.v', 'x': 'c.v'}[c] for c in cols)} FROM s, c WHERE s.k = c.k AND s.j = c.j", t, cols)
+        assert "Generate explode" in few._jdf.queryExecution().toString() and rows(few) == rows(want.select(*cols))
+
+
 def test_joins_with_a_unique_key_are_left_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plan_module, "MANY_PAIRS", 1000)
     spark.range(3000).selectExpr("id", "id % 120 k").coalesce(1).write.parquet(str(tmp_path / "t"))
