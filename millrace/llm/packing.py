@@ -16,48 +16,85 @@ columns besides the id, the content and the prompt length are not read.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
-from itertools import count
+import re
+import string
+from collections.abc import Iterable, Iterator
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import Merges
 from millrace.llm.common import worker_cache
 
 SCHEMA = "id long, start long, length long, doc_tokens long, loss long, sequence_id long, offset long, ids_crc32 long, ids binary"
 COLUMNS = ["id", "start", "length", "doc_tokens", "loss", "sequence_id", "offset", "ids_crc32", "ids"]
 
 
+#: The marks that, however many, are parted from the letters before them as one piece.
+MARKS = string.punctuation.replace("'", "")
+#: The most bytes of a word that is kept.
+LONG = 256
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def cut(content: bytes, most: int) -> Iterator[bytes]:
+    """Parts of a text that end before white space: as few bytes beyond `most` as its words allow."""
+    lo = 0
+    while lo < len(content):
+        space = _SPACE.search(content, lo + most)
+        hi = space.start() if space else len(content)
+        yield content[lo:hi]
+        lo = hi
+
+
+def values(words: pa.StringArray) -> list[bytes]:
+    """The same as to_pylist(), as bytes, without an object of Arrow's for each."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class WordTokenizer:
     """The ids of texts, word by word through a cache that the Python worker keeps from task to task.
 
     Exact for the lower-casing BPE with word ends, which parts words at white space and drops it: what stands
-    between ASCII white space is looked up. New words of plain letters, with one mark after them at most, are
-    lower-cased here and go to the BPE model in one call; every other word goes through the library's whole
-    pipeline. At most `most` words are kept, twice over: when they are full, they become the old ones, in which words are looked up that
-    are not among the new ones, so that frequent words stay. As many lower-case stems are kept.
+    between ASCII white space is looked up, once for the texts that are encoded together. New words of plain letters,
+    with a few ASCII marks after them at most, are lower-cased and merged here, all at once; every other word goes through the
+    library's whole pipeline. At most `most` words are kept, twice over: when they are full, they become the old ones, in which words are looked up that
+    are not among the new ones, so that frequent words stay.
     """
 
     def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.most, self.kept, self.old, self.stems = most, {}, {}, {}
-        vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-        self.ends = np.array([k.endswith("</w>") for k, _ in vocab])
-        self.marks = {m: self._whole(m) for m in ("", *".,;:|!?")}
+        self.most, self.kept, self.old = most, {}, {}
         # BPE works on bytes that stand as printable characters
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.shown = {b: (b if b in shown else 256 + n) for n, b in ((sum(x not in shown for x in range(b)), b) for b in range(256))}
+        shown = {b: (b if b in shown else 256 + n) for n, b in ((sum(x not in shown for x in range(b)), b) for b in range(256))}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model["vocab"], model["merges"], shown, model["end_of_word_suffix"])
+        # by character, those from U+0180 on being one: whether it is a letter or a mark, the bytes of its lower case
+        chars = [chr(c) for c in range(0x180)]
+        self.letter = np.array([c.isalpha() and c != "\u0130" for c in chars] + [False])
+        self.mark = np.array([c in MARKS for c in chars] + [False])
+        self.marks: dict[bytes, bytes] = {}
+        lower = [(c.lower() if ok else c).encode() for c, ok in zip(chars, self.letter, strict=False)] + ["\u0180".encode()]
+        self.width = np.array([len(c) for c in lower])
+        self.lower = np.array([[c[0], c[-1]] for c in lower], np.uint8)
 
     @classmethod
     def open(cls, path: str, most: int = 250_000) -> WordTokenizer:
@@ -66,70 +103,94 @@ class WordTokenizer:
     def _whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stem_ids(self, stems: list[str]) -> None:
-        """The ids of new stems, parted at their closing ids."""
-        text = " ".join(s if s.isascii() else s.encode().decode("latin-1").translate(self.shown) for s in stems)
-        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(stems):
-            raw, at = ids.tobytes(), 0
-            for s, stop in zip(stems, stops.tolist(), strict=True):
-                self.stems[s] = raw[4 * at : 4 * stop]
-                at = stop
-        else:  # the model knows no id for some character
-            self.stems.update((s, self._whole(s)) for s in stems)
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
-        for w, s in zip(words, b" ".join(words).decode(errors="replace").split(" "), strict=True):
-            mark = s[-1] if s[-1] in ".,;:|!?" else ""
-            stem = s[:-1] if mark else s
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem):
-                plain.append((w, stem.lower(), mark))
-            else:
-                odd.append((w, s))
+    def _marks(self, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._whole(marks.decode())
+        return self.marks[marks]
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words."""
+        text = b" ".join([w if len(w) <= LONG else b"" for w in words]).decode(errors="replace")
+        chars = np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x180)
+        ends = np.append(np.flatnonzero(chars == 32), len(chars))
+        starts = np.append(0, ends[:-1] + 1)
+        letter = self.letter[chars]
+        # the first character from each place on that is no letter
+        stops = np.append(np.where(letter, len(chars), np.arange(len(chars))), len(chars))
+        stops = np.minimum.accumulate(stops[::-1])[::-1][starts]
+        tails = ends - stops
+        marks = np.append(0, np.cumsum(self.mark[chars]))
+        upto = np.append(0, np.cumsum(self.width[chars]))
+        sizes = upto[stops] - upto[starts]
+        plain = (sizes > 0) & (sizes <= Merges.LONGEST) & (tails <= 8) & (marks[ends] - marks[stops] == tails)
+        at = np.flatnonzero(plain)
+        raw = np.empty(upto[-1], np.uint8)
+        raw[upto[1:] - 1] = self.lower[chars, 1]
+        raw[upto[:-1]] = self.lower[chars, 0]
+        ids, counts = self.merges(raw, upto[starts[at]], sizes[at])
+        flat, bounds = ids.tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
+        out = [b""] * len(words)
+        for k, n, a, b in zip(at.tolist(), tails[at].tolist(), bounds, bounds[1:], strict=False):
+            out[k] = flat[a:b] + self._marks(words[k][-n:]) if n else flat[a:b]
+        odd = np.flatnonzero(~plain).tolist()
         for lo in range(0, len(odd), 1024):
             part = odd[lo : lo + 1024]
-            for (w, _), got in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(got.ids, "<u4").tobytes()
-        new = {stem for _, stem, _ in plain if stem not in self.stems}
-        if len(self.stems) + len(new) > self.most:
-            self.stems.clear()
-            new = {stem for _, stem, _ in plain}
-        if new:
-            self._stem_ids(sorted(new))
-        for w, stem, mark in plain:
-            self.kept[w] = self.stems[stem] + self.marks[mark]
-
-    def encode(self, contents: list[bytes], together: int = 1 << 18) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. The new words of texts of `together` bytes in all, or of one longer text, are learnt at once."""
-        out, lo = [], 0
-        while lo < len(contents):
-            hi, total = lo + 1, len(contents[lo])
-            while hi < len(contents) and total + len(contents[hi]) <= together:
-                total += len(contents[hi])
-                hi += 1
-            out += self._encode([c.split() for c in contents[lo:hi]], contents[lo:hi])
-            lo = hi
+            for k, got in zip(part, self.tokenizer.encode_batch_fast([words[k].decode(errors="replace") for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.array(got.ids, "<u4").tobytes()
         return out
 
-    def _encode(self, split: list[list[bytes]], contents: list[bytes]) -> list[bytes]:
-        kept = self.kept
-        new = {w for words in split for w in words if w not in kept}
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        got = list(map(self.kept.get, words))
+        at = [k for k, ids in enumerate(got) if ids is None]
+        if not at:
+            return got
+        new = [words[k] for k in at]
+        found = list(map(self.old.get, new))
+        never = [w for w, ids in zip(new, found, strict=True) if ids is None]
+        if never:
+            learnt = iter(self._learn(never))
+            found = [next(learnt) if ids is None else ids for ids in found]
         if len(self.kept) + len(new) > self.most:
             self.kept, self.old = {}, self.kept
-            new = set().union(*split)
-        if len(new) > self.most:  # more different words than may be kept
-            if len(contents) > 1:
-                return [x for s, c in zip(split, contents, strict=True) for x in self._encode([s], [c])]
-            return [self._whole(contents[0].decode(errors="replace"))]
-        if new:
-            known = new & self.old.keys()
-            self.kept.update((w, self.old[w]) for w in known)
-            if len(known) < len(new):
-                self._learn(sorted(new - known))
-        ids = self.kept.__getitem__
-        return [b"".join(map(ids, s)) for s in split]
+        keep = zip(new, found, strict=True)
+        self.kept.update(islice(keep if max(map(len, new)) <= LONG else ((w, ids) for w, ids in keep if len(w) <= LONG), self.most))
+        for k, ids in zip(at, found, strict=True):
+            got[k] = ids
+        return got
+
+    def encode(self, contents: Iterable[bytes], together: int = 1 << 21) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return list(self.encode_each(contents, together))
+
+    def encode_each(self, contents: Iterable[bytes], together: int = 1 << 21) -> Iterator[bytes]:
+        """The same, text by text. The words of texts of `together` bytes in all are looked up at once; a longer text is cut at white space."""
+        group, total = [], 0
+        for content in contents:
+            if group and total + len(content) > together:
+                yield from self._encode(group)
+                group, total = [], 0
+            if len(content) > together:
+                yield b"".join(ids for part in cut(content, together) for ids in self._encode([part]))
+            else:
+                group.append(content)
+                total += len(content)
+        if group:
+            yield from self._encode(group)
+
+    def _encode(self, contents: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(contents, pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        known = self._look_up(values(coded.dictionary))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, at = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
+        counts = size[at]
+        upto = np.append(0, np.cumsum(counts))
+        raw = ids[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        bounds = (4 * upto[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 class Piece:
@@ -225,11 +286,12 @@ def pack(
         held: list[Piece] = []
         bytes_ = 0
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo : lo + 64]
-                for i, ids, prompt in zip(part["id"], known.encode([bytes(x) for x in part["content"]]), part["prompt"], strict=True):
-                    held.append(Piece(i, ids + close, int(prompt)))
-                    bytes_ += len(ids)
+            each = zip(batch["id"], known.encode_each(map(bytes, batch["content"])), batch["prompt"], strict=True)
+            for k, (i, ids, prompt) in enumerate(each, 1):
+                held.append(Piece(i, ids + close, int(prompt)))
+                bytes_ += len(ids)
+                if k % 64 and k < len(batch):
+                    continue
                 if len(held) >= window_rows or bytes_ >= window_bytes:
                     rows, held = pack_window(held, capacity, number, False, with_ids)
                     bytes_ = 0

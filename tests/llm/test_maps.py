@@ -1,6 +1,7 @@
 """Packing, media columns and chat formatting on small tables with every odd case, against brute force."""
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -189,3 +190,30 @@ def test_new_words_of_small_texts_are_learnt_at_once(monkeypatch):
     assert len(calls) == 1 and together[:6] == alone
     # few words may be kept: texts one by one, or whole
     assert packing.WordTokenizer(path, 8).encode(texts) == packing.WordTokenizer(path, 3).encode(texts) == together
+
+
+def test_words_of_letters_and_marks_are_merged_without_the_library(monkeypatch):
+    t = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    parts = ["th", "tion", "än", "É", "ß", "ciÓn", "é", "x", "QU", "an", "an", "ſ", "Ÿ", "ª"]
+    words = sorted({("".join(rng.choices(parts, k=rng.randint(1, 9))) + rng.choice(["", ".", ",&&&", "***", "?!", '".'])).encode() for _ in range(3000)})
+    want = [t._whole(w.decode()) for w in words]
+    calls, whole = [], t.tokenizer
+    t.tokenizer = None  # no word goes to the library
+    monkeypatch.setattr(t, "_whole", lambda s: calls.append(s) or np.array(whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+    assert t.encode([b" ".join(words)]) == [b"".join(want)]
+    assert sorted(calls) == sorted([".", ",&&&", "***", "?!", '".'])
+
+
+def test_words_of_many_texts_are_looked_up_once_and_long_texts_in_parts(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [b" \t one two\x0bthree,three &&& \xff \xc3" + b" w%d\n" % k + b"\x0c" * (k % 3) for k in range(50)] + [b"", b" ", b"l" * 300 + b" " + b"-" * 300]
+    want = [np.array(brute_ids(x.decode(errors="replace"))[:-1], "<u4").tobytes() for x in texts]
+    seen, look = [], packing.WordTokenizer._look_up
+    monkeypatch.setattr(packing.WordTokenizer, "_look_up", lambda self, words: seen.append(len(words)) or look(self, words))
+    t = packing.WordTokenizer(path)
+    assert t.encode(texts) == want and len(seen) == 1
+    assert max(map(len, t.kept)) <= packing.LONG
+    for together in (1, 7, 40):
+        assert packing.WordTokenizer(path, 5).encode(texts, together) == want
+    assert b"".join(packing.cut(texts[0], 3)) == texts[0] and all(x[:1].isspace() for x in list(packing.cut(texts[0], 3))[1:])
